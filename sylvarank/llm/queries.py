@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .media import media_features, store_texts
 from .packing import pack
 from .sharding import kd_shards
 from .tokens import token_histogram
+from .warc import page_records, read_warc, write_warc
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -32,6 +34,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
 
 
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_records(read_warc(write_warc(table(spark, sf_dir, "pages"))))
+
+
+def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(store_texts(table(spark, sf_dir, "documents")))
+
+
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -39,7 +49,18 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_warc_archives": op3_warc_archives,
+    "op4_jpeg_media": op4_jpeg_media,
     "op5_kd_sharding": op5_kd_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_warc_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS top FROM k WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, k.payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM k LEFT JOIN g ON k.payload_digest = g.payload_digest""",
+}
