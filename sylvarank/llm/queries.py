@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cdc import repeated_passages
-from .common import table
+from .common import remainder, table
 from .decontam import contaminated
+from .langid import learn_languages, predict_languages
 from .media import media_features, store_texts
 from .packing import pack
 from .sharding import kd_shards
 from .tokens import token_histogram
+from .toxicity import learn_toxicity, score_toxicity
 from .warc import page_records, read_warc, write_warc
 
 
@@ -48,6 +50,20 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_languages(docs, remainder("doc_id", 4) != 2)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return predict_languages(docs, model).select("doc_id", held_out, "lang_pred", "score", "languages", "mixture")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = learn_toxicity(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return score_toxicity(docs, net).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_archives": op3_warc_archives,
     "op4_jpeg_media": op4_jpeg_media,
     "op5_kd_sharding": op5_kd_sharding,
+    "op6_language_mixture": op6_language_mixture,
+    "op7_toxicity": op7_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -158,14 +158,16 @@ def parse_record(contents: bytes) -> dict:
     return fields | {"http": http, "payload": payload}
 
 
-def read_warc(files: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
+def read_warc(files: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
     """Records of the archives listed as ``path, bytes``; columns as in ``RECORD``.
 
     Files are cut to byte ranges that tasks read on their own, so one large
-    archive is read by many tasks.  An empty list gives no rows.
+    archive is read by many tasks, one for each range.  An empty list gives no
+    rows.
     """
+    count = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end")).repartition("path", "start")
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end")).repartition(int(count), "path", "start")
     names = [c.split(" ")[0] for c in RECORD.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
