@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .cdc import repeated_passages
 from .common import remainder, table
 from .decontam import contaminated
+from .jaccard import jaccard_components
 from .langid import learn_languages, predict_languages
 from .media import media_features, store_texts
 from .packing import pack
@@ -64,6 +65,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, net).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_kd_sharding": op5_kd_sharding,
     "op6_language_mixture": op6_language_mixture,
     "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
