@@ -28,6 +28,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str, meta: list[str], unit_by
     heavy = groups.where(F.col("weight") > unit_bytes).select("grp", F.ceil(F.col("weight") / unit_bytes).alias("parts"))
     rows = rows.drop(*(f"m{i}" for i in range(len(meta)))).join(heavy, "grp", "left")
     rows = rows.withColumn("unit", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.col("doc_id")), F.col("parts"))).otherwise(F.lit(0)).cast("long")).drop("parts")
+    rows = stage(rows, "shard-rows")  # so that the sums below start from unsorted rows and combine within tasks
     units = rows.groupBy("grp", "unit").agg(F.sum("size").alias("weight")).join(groups.drop("weight"), "grp")
     return rows, units
 
@@ -72,7 +73,6 @@ def kd_shards(
     leaves = shards or max(1, math.ceil(total / (target_bytes or max(total, 1))))
     leaf = max(1.0, total / leaves)
     rows, units = _units(docs, id_col, text_col, list(metadata), max(tolerance * leaf, (longest or 0) + 8))
-    rows = stage(rows, "shard-rows")
     dims = [F.log2(F.col("size")), *(_coded(f"m{i}") for i in range(len(metadata)))]
     names = [f"d{i}" for i in range(len(dims))]
     tie = F.shiftrightunsigned(F.xxhash64("grp", "unit"), 64 - TIE_BITS)
