@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Bytes that the cut decision sees: the gear hash shifts older ones out of the bits that are tested.
 WINDOW = 16
 LEAST, MOST = 24, 4096
@@ -136,6 +138,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 15, id_col: str = "doc
     """
     chunks = chunk_texts(docs, id_col, text_col)
     owners = chunks.groupBy("hi", "lo").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    owners = stage(owners, "chunk-owners")  # the join below gets its own exchange, whose hot digests can be split
     repeats = chunks.join(owners, ["hi", "lo"]).where("doc_id > owner").select("doc_id", "start", "length", "words", "owner")
     order = Window.partitionBy("doc_id").orderBy("start", "length")
     before = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
