@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +35,56 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sylvarank/{what}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The written files survive lost executors, and values that depend on a task
     (partition numbers, ranks in a partition) are fixed once they are written.
+    Shuffle files of the write are of no use after it and go at once.
     """
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, what)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def id_filter(ids: DataFrame, bits: int = 24) -> bytes:
+    """A Bloom filter of one hash: a bitmap of ``2**bits`` bits, 2 MB whatever the number of ids.
+
+    Spark sums it by words of 64 bits, so the driver gets at most ``2**bits / 64``
+    rows.  A full filter lets everything pass, which costs work, not results.
+    """
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << bits))
+    words = ids.select(place.alias("at")).select(F.expr("at div 64").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros((1 << bits) // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["b"]
+    return out.tobytes()
+
+
+def filter_place(id_col: str, bits: int = 24):
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << bits))
+
+
+def passes(bitmap: bytes, places: np.ndarray) -> np.ndarray:
+    words = np.frombuffer(bitmap, np.int64)
+    return (words[places >> 6] >> (places & 63)) & 1 == 1
 
 
 def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:

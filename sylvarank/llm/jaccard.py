@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import filter_place, id_filter, passes, stage, unstage
 
 WIDTH = 5
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -159,18 +159,29 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
     return docs.mapInArrow(emit, "shingle long, doc_id long")
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, sets, held = [], [], 0
-    make = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "shingles"])
-    for doc, s in _sets(batches):
-        ids.append(doc)
-        sets.append(s)
-        held += len(s)
-        if held > 500_000:
+def _arrays(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, shingles`` of the documents with these ids, and of a few more that pass the filter.
+
+    Texts are read, not shuffled, and only those that pass are hashed.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, out, sets, held = _Hashes(), [], [], 0
+        make = lambda: pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "shingles"])
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(sent.value, batch.column(2).to_numpy())))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out.append(doc)
+                sets.append(shingle_set(text, hashes))
+                held += len(sets[-1])
+                if held > 500_000:
+                    yield make()
+                    out, sets, held = [], [], 0
+        if out:
             yield make()
-            ids, sets, held = [], [], 0
-    if ids:
-        yield make()
+
+    return rows.where("doc_id is not null").withColumn("place", filter_place("doc_id")).mapInArrow(emit, "doc_id long, shingles array<long>")
 
 
 def connected(edges: DataFrame, what: str = "labels") -> DataFrame:
@@ -194,17 +205,20 @@ def connected(edges: DataFrame, what: str = "labels") -> DataFrame:
 
 
 def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``rep, n, label`` after the components that ``links`` (``x, p``) join become one."""
-    ends = links.join(nodes.select(F.col("rep").alias("x"), F.col("label").alias("a")), "x").join(nodes.select(F.col("rep").alias("p"), F.col("label").alias("b")), "p").where("a <> b").select("a", "b")
+    """``doc_id, n, label`` after the components that ``links`` (``x, p``) join become one."""
+    ends = links.join(nodes.select(F.col("doc_id").alias("x"), F.col("label").alias("a")), "x").join(nodes.select(F.col("doc_id").alias("p"), F.col("label").alias("b")), "p").where("a <> b").select("a", "b")
     ends = stage(ends.distinct(), "links")
     if ends.isEmpty():
         return nodes
     merged = connected(ends).withColumnRenamed("label", "to")
-    return stage(nodes.join(merged, nodes["label"] == merged["node"], "left").select("rep", "n", F.coalesce("to", "label").alias("label")), "nodes")
+    return stage(nodes.join(merged, nodes["label"] == merged["node"], "left").select("doc_id", "n", F.coalesce("to", "label").alias("label")), "nodes")
 
 
-def _measured(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+def _measured(pairs: DataFrame, rows: DataFrame, repeated: bool, percent: int) -> DataFrame:
     """``x, p, distance, linked`` of the pairs, from their whole sets."""
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("p")).distinct()
+    arrays = _arrays(rows, ids)
+    arrays = arrays.dropDuplicates(["doc_id"]) if repeated else arrays
     with_x = pairs.select("x", "p").join(arrays.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x")
     both = with_x.join(arrays.select(F.col("doc_id").alias("p"), F.col("shingles").alias("sp")), "p")
     common = both.select("x", "p", F.size(F.array_intersect("sx", "sp")).cast("long").alias("i"), (F.size("sx") + F.size("sp")).cast("long").alias("t"))
@@ -230,47 +244,51 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     info = facts.where("shingle is null").select("doc_id", "n", "hi", "lo")
     classes = info.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     members = stage(info.join(classes, ["hi", "lo"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
-    by_doc = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
-
-    prefixes = _prefixes(rows, heavy, percent)
-    shared = prefixes.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
-    placed = prefixes.join(shared, "shingle").join(by_doc, "doc_id").select("shingle", "rep", "n").distinct()
-    placed = stage(placed, "placed")
-    crowded = placed.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
-    regions = stage(placed.join(crowded, "shingle").withColumn("turn", F.xxhash64("rep")), "regions")
-    nodes = stage(regions.select("rep", "n").distinct().withColumn("label", F.col("rep")), "nodes")
-    ids = nodes.select(F.col("rep").alias("doc_id"))
-    arrays = stage(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_arrays, "doc_id long, shingles array<long>"), "arrays")
-
-    fits = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.col("x") != F.col("p"))
-    first = regions.groupBy("shingle").agg(F.min(F.struct("turn", "rep", "n")).alias("m")).select("shingle", F.col("m.rep").alias("p"), F.col("m.n").alias("pn"))
-    cells = regions.withColumnRenamed("rep", "x").join(first, "shingle").where(fits).groupBy("x", "p").agg(F.count("*").alias("times"))
-    nearest = cells.groupBy("x").agg(F.max(F.struct("times", "p")).alias("m")).select("x", F.col("m.p").alias("p"))
-    known = _measured(nearest, arrays, percent)
+    unstage(facts)
+    per_id = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("label"), F.max("n").alias("n"), F.count("*").alias("times"))
+    repeated = not per_id.where("times > 1").isEmpty()
+    nodes = stage(per_id.select("doc_id", "n", "label"), "nodes")
+
+    prefixes = stage(_prefixes(rows, heavy, percent), "prefixes")
+    shared = stage(prefixes.groupBy("shingle").agg(F.count("*").alias("times"), F.min(F.struct(F.xxhash64("doc_id").alias("turn"), "doc_id")).alias("m")).where("times > 1").select("shingle", F.col("m.doc_id").alias("p")), "shared")
+    regions = stage(prefixes.join(shared, "shingle").withColumnRenamed("doc_id", "x"), "regions")
+    unstage(prefixes)
+    unstage(shared)
+
+    sizes = nodes.select("doc_id", "n", "label")
+    of_x, of_p = (sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("label").alias(f"{c}l")) for c in "xp")
+    fits = (100 * F.least("xn", "pn") >= percent * F.greatest("xn", "pn")) & (F.col("xl") != F.col("pl"))
+    cells = regions.where("x <> p").groupBy("x", "p").agg(F.count("*").alias("times")).join(of_x, "x").join(of_p, "p").where(fits)
+    nearest = stage(cells.groupBy("x").agg(F.max(F.struct("times", "p")).alias("m")).select("x", F.col("m.p").alias("p")), "cells")
+    known = _measured(nearest, rows, repeated, percent)
     nodes = _relabel(nodes, known.where("linked"))
 
-    many = 2
+    many, live = 2, regions.select("shingle", "x")
     while True:
-        labelled = regions.join(nodes.select("rep", "label"), "rep")
-        mixed = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
-        live = stage(labelled.join(mixed, "shingle"), "live")
+        sides = nodes.select(F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
+        labelled = live.join(sides, "x")
+        mixed = labelled.groupBy("shingle").agg(F.min("xl").alias("a"), F.max("xl").alias("b")).where("a <> b").select("shingle")
+        live = stage(labelled.join(mixed, "shingle").withColumn("turn", F.xxhash64("x")), "live")
         if live.isEmpty():
             break
-        order = Window.partitionBy("shingle").orderBy("turn", "rep")
-        pivots = live.withColumn("k", F.row_number().over(order)).where(F.col("k") <= many).select("shingle", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("turn").alias("pt"))
-        pivots = stage(pivots, "pivots")
-        pairs = live.withColumnRenamed("rep", "x").join(pivots, "shingle").where(fits & (F.col("label") != F.col("pl")) & ((F.col("turn") > F.col("pt")) | ((F.col("turn") == F.col("pt")) & (F.col("x") > F.col("p"))))).select("x", "p").distinct()
+        order = Window.partitionBy("shingle").orderBy("turn", "x")
+        pivots = stage(live.withColumn("k", F.row_number().over(order)).where(F.col("k") <= many).select("shingle", F.col("x").alias("p"), F.col("xn").alias("pn"), F.col("xl").alias("pl"), F.col("turn").alias("pt")), "pivots")
+        later = (F.col("turn") > F.col("pt")) | ((F.col("turn") == F.col("pt")) & (F.col("x") > F.col("p")))
+        pairs = live.join(pivots, "shingle").where(fits & later).select("x", "p").distinct()
         pairs = pairs.join(known.select("x", "p"), ["x", "p"], "left_anti").join(known.select(F.col("p").alias("x"), F.col("x").alias("p")), ["x", "p"], "left_anti")
         pairs = stage(pairs, "pairs")
         # a common pivot whose distances differ by more than the radius keeps two documents apart
         from_x = known.select("x", F.col("p").alias("q"), F.col("distance").alias("dx"))
         from_p = known.select(F.col("x").alias("p"), F.col("p").alias("q"), F.col("distance").alias("dp"))
         apart = pairs.join(from_x, "x").join(from_p, ["p", "q"]).where(F.abs(F.col("dx") - F.col("dp")) > 1 - percent / 100 + 1e-9).select("x", "p").distinct()
-        new = _measured(pairs.join(apart, ["x", "p"], "left_anti"), arrays, percent)
-        known = stage(known.union(new), "known")
-        nodes = _relabel(nodes, new.where("linked"))
-        done = pivots.select("shingle", F.col("p").alias("rep"))
-        regions = stage(live.drop("label").join(done, ["shingle", "rep"], "left_anti"), "regions")
+        near = stage(pairs.join(apart, ["x", "p"], "left_anti"), "near")
+        if not near.isEmpty():
+            new = _measured(near, rows, repeated, percent)
+            known = stage(known.union(new), "known")
+            nodes = _relabel(nodes, new.where("linked"))
+        done = pivots.select("shingle", F.col("p").alias("x"))
+        live = live.select("shingle", "x").join(done, ["shingle", "x"], "left_anti")
         many *= 4
-    out = members.join(nodes.select("rep", "label"), "rep", "left")
+    labels = nodes.select(F.col("doc_id").alias("rep"), "label")
+    out = members.join(labels, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
