@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def occurrences(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -49,7 +50,7 @@ def duplicate_pairs(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_distinct(told).alias("distinct_pairs")).withColumn("repeated", F.col("total") - F.col("distinct_pairs"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys and no spaces; null for what is no JSON."""
 
