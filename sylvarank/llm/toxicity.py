@@ -64,6 +64,7 @@ class Network:
     word_odds: np.ndarray
     char_odds: np.ndarray
     prior: float
+    constant: bool = False
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
@@ -73,7 +74,7 @@ class Network:
         p = {"E": n(WORD_BUCKETS, WORD, scale=0.05), "C": n(CHAR_BUCKETS, CHAR, scale=0.05), "v": n(2 * HIDDEN, scale=0.1), "o": n(2 * HIDDEN, scale=0.3), "b": np.zeros(1, np.float32)}
         for d in "fb":
             p |= {f"W{d}": n(INPUT, 3 * HIDDEN, scale=0.3), f"U{d}": n(HIDDEN, 3 * HIDDEN, scale=0.3), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
-        return Network(word_odds, char_odds, prior, p)
+        return Network(word_odds, char_odds, prior, p=p)
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
         """One row per word: word vector, mean trigram vector, and the two odds."""
@@ -211,6 +212,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 5, batch: int = 128, rate: fl
     odds = log_odds(word_n[1], word_n[0], n_toxic, n_clean)
     net = Network.fresh(odds, log_odds(char_n[1], char_n[0], n_toxic, n_clean), 0.5)
     if not n_toxic or not n_clean:
+        net.constant, net.prior = True, float(n_toxic > 0)
         return net
     vocabulary: dict[str, int] = {}
     flat = np.asarray([vocabulary.setdefault(w, len(vocabulary) + 1) for t in texts for w in t], np.int64)
@@ -246,7 +248,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 5, batch: int = 128, rate: fl
         if turn < rounds - 1:
             x = net.project(net.inputs(names)[0])
             score = np.concatenate([net.forward(x, index[a : a + 4096]) for a in range(0, len(index), 4096)])
-    net.prior = float(sigmoid(net.p["b"][0])) if not len(flat) else 0.05
+    net.prior = 0.05
     return net
 
 
@@ -300,7 +302,7 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
                         rows = part[a : a + block]
                         np.maximum.at(best, of[rows], own.forward(tables, index[rows]))
                 n = np.bincount(of, minlength=len(ids))
-            value = np.where(n > 0, sigmoid(np.where(n > 0, best, 0)), own.prior)
+            value = np.full(len(ids), own.prior) if own.constant else np.where(n > 0, sigmoid(np.where(n > 0, best, 0)), own.prior)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(value), pa.array(n)], schema=schema)
 
         ids, texts, held = [], [], 0
