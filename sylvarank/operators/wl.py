@@ -85,13 +85,14 @@ def class_scores(wanted: DataFrame, keyed: DataFrame, **limits) -> DataFrame:
     return pairs.groupBy("q", "c").agg(cosine(F.sum(F.col("qc") * F.col("cc")), F.first("qn"), F.first("cn")).alias("score"))
 
 
-def cosine_top_k(encoding: DataFrame, stats: DataFrame, queries: DataFrame, k: int, zero_fill: bool = False, **limits) -> DataFrame:
+def cosine_top_k(encoding: DataFrame, stats: DataFrame, queries: DataFrame, k: int, zero_fill: bool = False, among: DataFrame | None = None, **limits) -> DataFrame:
     """``query_id, name, score, position``: the k best trees for each query by rounded score, then id.
 
     A class beyond the first k (by score, then least member) has k better trees
     before it, so only k classes and k members of each are expanded: what is
     ranked per query is bounded, however many trees are alike.  With
-    ``zero_fill`` comparable trees that share no label follow with score 0.
+    ``zero_fill`` comparable trees that share no label follow with score 0;
+    ``among`` names the trees that may be found, all by default.
     """
     trees, keyed = classes(encoding, stats)
     wanted = trees.join(queries.select(F.col("query_id").alias("tree_id")), "tree_id", "left_semi")
@@ -102,6 +103,7 @@ def cosine_top_k(encoding: DataFrame, stats: DataFrame, queries: DataFrame, k: i
         q = sizes.join(wanted.select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("q"), low.alias("low"), high.alias("high"))
         inside = binned_band_join(q, sizes.withColumnRenamed("cls", "c"), "low", "high", "size", 16).select("q", "c")
         scored = inside.join(scored, ["q", "c"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    trees = trees if among is None else trees.join(among.select("tree_id"), "tree_id", "left_semi")
     first = trees.groupBy(F.col("cls").alias("c")).agg(F.min("tree_id").alias("least"))
     best = top_k(scored.join(first, "c"), ["q"], [F.desc("score"), F.col("least")], k, "_p").drop("_p", "least")
     members = top_k(trees.select(F.col("cls").alias("c"), F.col("tree_id").alias("name")), ["c"], [F.col("name")], k, "_p").drop("_p")
