@@ -83,34 +83,46 @@ def name_binders(node: Node, stack: tuple[str, ...] = ()) -> Node:
     return ctor, payload, tuple(name_binders(c, stack) for c in children)
 
 
-def structural_key(node: Node) -> str:
-    """Text that names a subtree's structure; binder kinds and let flags do not count."""
+def keyed(node: Node) -> tuple[str, Node, tuple]:
+    """A subtree's key with the node and its keyed children; every key is built once from those below.
+
+    Keys name the structure: binder kinds and let flags do not count.
+    """
     ctor, payload, children = node
+    kids = tuple(map(keyed, children))
     shown = payload[:1] if ctor in ("Lam", "ForallE", "LetE") else payload
-    return "-".join([ctor, *(",".join(p) if isinstance(p, tuple) else str(p) for p in shown), *map(structural_key, children)])
+    return "-".join([ctor, *(",".join(p) if isinstance(p, tuple) else str(p) for p in shown), *(k[0] for k in kids)]), node, kids
+
+
+def structural_key(node: Node) -> str:
+    return keyed(node)[0]
 
 
 def subtree_counts(node: Node) -> Counter:
-    counts, todo = Counter(), [node]
+    return _counts(keyed(node))
+
+
+def _counts(top: tuple[str, Node, tuple]) -> Counter:
+    counts, todo = Counter(), [top]
     while todo:
-        at = todo.pop()
-        counts[structural_key(at)] += 1
-        todo += at[2]
+        key, _, kids = todo.pop()
+        counts[key] += 1
+        todo += kids
     return counts
 
 
 def share_subtrees(node: Node, named: bool = True) -> Node:
     """Every repeated subtree that is no constant becomes a variable v0, v1, ... in preorder."""
-    node = name_binders(node) if named else node
-    counts, names = subtree_counts(node), {}
+    top = keyed(name_binders(node) if named else node)
+    counts, names = _counts(top), {}
 
-    def walk(at: Node) -> Node:
-        key = structural_key(at)
-        if at[0] != "Const" and counts[key] > 1:
+    def walk(at: tuple[str, Node, tuple]) -> Node:
+        key, (ctor, payload, _), kids = at
+        if ctor != "Const" and counts[key] > 1:
             return "FVar", (names.setdefault(key, f"v{len(names)}"),), ()
-        return at[0], at[1], tuple(map(walk, at[2]))
+        return ctor, payload, tuple(map(walk, kids))
 
-    return walk(node)
+    return walk(top)
 
 
 def drop_simple_binders(node: Node) -> Node:
