@@ -11,7 +11,9 @@ documents are pivots: each document is measured against the pivot with which it
 shares most regions (its Voronoi cell), regions whose documents are connected
 are done, and the others recurse with more pivots, from which the triangle
 inequality keeps away all pairs whose distances to a common pivot differ by more
-than the radius.
+than the radius.  In the region of the first shingle that two documents share,
+neither can share more than it has from there on, which keeps apart documents
+that differ in their rare shingles however many frequent ones they have.
 """
 
 from __future__ import annotations
@@ -117,7 +119,10 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
-    """``shingle, doc_id``: the regions of each document; texts with equal sets once per task.
+    """``shingle, doc_id, n, rest``: the regions of each document; texts with equal sets once per task.
+
+    ``n`` is the size of the set, ``rest`` how many of its shingles come from
+    this one on in the common order.
 
     ``heavy``: frequent shingles, the most frequent last.
     """
@@ -126,10 +131,12 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = sent.value
-        out, ids, held, seen = [], [], 0, set()
+        out, ids, sizes, held, seen = [], [], [], 0, set()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.asarray(ids, np.int64), [len(x) for x in out]))], ["shingle", "doc_id"])
+            lengths, n = [len(x) for x in out], np.asarray(sizes, np.int32)
+            rest = np.concatenate([k - np.arange(m, dtype=np.int32) for k, m in zip(sizes, lengths)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.asarray(ids, np.int64), lengths)), pa.array(np.repeat(n, lengths)), pa.array(rest)], ["shingle", "doc_id", "n", "rest"])
 
         for doc, s in _sets(batches):
             if not len(s) or doc is None:
@@ -138,6 +145,7 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
             if key in seen:
                 continue
             seen.add(key)
+            sizes.append(len(s))
             p = prefix_length(len(s), percent)
             if len(known):
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -152,11 +160,11 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
             held += p
             if held > 500_000:
                 yield flush()
-                out, ids, held = [], [], 0
+                out, ids, sizes, held = [], [], [], 0
         if out:
             yield flush()
 
-    return docs.mapInArrow(emit, "shingle long, doc_id long")
+    return docs.mapInArrow(emit, "shingle long, doc_id long, n int, rest int")
 
 
 def _arrays(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -205,13 +213,13 @@ def connected(edges: DataFrame, what: str = "labels") -> DataFrame:
 
 
 def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``doc_id, n, label`` after the components that ``links`` (``x, p``) join become one."""
+    """``doc_id, label`` after the components that ``links`` (``x, p``) join become one."""
     ends = links.join(nodes.select(F.col("doc_id").alias("x"), F.col("label").alias("a")), "x").join(nodes.select(F.col("doc_id").alias("p"), F.col("label").alias("b")), "p").where("a <> b").select("a", "b")
     ends = stage(ends.distinct(), "links")
     if ends.isEmpty():
         return nodes
     merged = connected(ends).withColumnRenamed("label", "to")
-    return stage(nodes.join(merged, nodes["label"] == merged["node"], "left").select("doc_id", "n", F.coalesce("to", "label").alias("label")), "nodes")
+    return stage(nodes.join(merged, nodes["label"] == merged["node"], "left").select("doc_id", F.coalesce("to", "label").alias("label")), "nodes")
 
 
 def _measured(pairs: DataFrame, rows: DataFrame, repeated: bool, percent: int) -> DataFrame:
@@ -247,47 +255,50 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     unstage(facts)
     per_id = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("label"), F.max("n").alias("n"), F.count("*").alias("times"))
     repeated = not per_id.where("times > 1").isEmpty()
-    nodes = stage(per_id.select("doc_id", "n", "label"), "nodes")
+    nodes = stage(per_id.select("doc_id", "label"), "nodes")
 
     prefixes = stage(_prefixes(rows, heavy, percent), "prefixes")
-    shared = stage(prefixes.groupBy("shingle").agg(F.count("*").alias("times"), F.min(F.struct(F.xxhash64("doc_id").alias("turn"), "doc_id")).alias("m")).where("times > 1").select("shingle", F.col("m.doc_id").alias("p")), "shared")
-    regions = stage(prefixes.join(shared, "shingle").withColumnRenamed("doc_id", "x"), "regions")
+    pivot = F.min(F.struct(F.xxhash64("doc_id").alias("turn"), F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("pr")))
+    shared = stage(prefixes.groupBy("shingle").agg(F.count("*").alias("times"), F.min("n").alias("least"), pivot.alias("m")).where("times > 1").select("shingle", "least", "m.p", "m.pn", "m.pr"), "shared")
+    regions = prefixes.join(shared, "shingle").select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("rest").alias("xr"), "p", "pn", "pr", "least")
+    # a document stays in a region if what it has from there on can be enough for its least possible partner
+    partner = F.greatest(F.col("least").cast("double"), F.col("xn") * percent / 100)
+    regions = stage(regions.where(F.col("xr") * (100 + percent) >= percent * (F.col("xn") + partner) - 1e-6), "regions")
     unstage(prefixes)
     unstage(shared)
 
-    sizes = nodes.select("doc_id", "n", "label")
-    of_x, of_p = (sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("label").alias(f"{c}l")) for c in "xp")
-    fits = (100 * F.least("xn", "pn") >= percent * F.greatest("xn", "pn")) & (F.col("xl") != F.col("pl"))
-    cells = regions.where("x <> p").groupBy("x", "p").agg(F.count("*").alias("times")).join(of_x, "x").join(of_p, "p").where(fits)
+    # in the region of their first common shingle, two documents can share no more than what either has left
+    room = (100 + percent) * F.least("xr", "pr").cast("long") >= percent * (F.col("xn") + F.col("pn")).cast("long")
+    of_x, of_p = (nodes.select(F.col("doc_id").alias(c), F.col("label").alias(f"{c}l")) for c in "xp")
+    cells = regions.where((F.col("x") != F.col("p")) & room).groupBy("x", "p").agg(F.count("*").alias("times")).join(of_x, "x").join(of_p, "p").where("xl <> pl")
     nearest = stage(cells.groupBy("x").agg(F.max(F.struct("times", "p")).alias("m")).select("x", F.col("m.p").alias("p")), "cells")
     known = _measured(nearest, rows, repeated, percent)
     nodes = _relabel(nodes, known.where("linked"))
 
-    many, live = 2, regions.select("shingle", "x")
+    many, live = 2, regions.select("shingle", "x", "xn", "xr")
     while True:
-        sides = nodes.select(F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-        labelled = live.join(sides, "x")
-        mixed = labelled.groupBy("shingle").agg(F.min("xl").alias("a"), F.max("xl").alias("b")).where("a <> b").select("shingle")
-        live = stage(labelled.join(mixed, "shingle").withColumn("turn", F.xxhash64("x")), "live")
+        labelled = live.join(nodes.select(F.col("doc_id").alias("x"), F.col("label").alias("xl")), "x")
+        mixed = labelled.groupBy("shingle").agg(F.min("xl").alias("a"), F.max("xl").alias("b"), F.min("xn").alias("least")).where("a <> b").select("shingle", "least")
+        live = labelled.join(mixed, "shingle").where(F.col("xr") * (100 + percent) >= percent * (F.col("xn") + F.greatest(F.col("least").cast("double"), F.col("xn") * percent / 100)) - 1e-6)
+        live = stage(live.drop("least").withColumn("turn", F.xxhash64("x")), "live")
         if live.isEmpty():
             break
         order = Window.partitionBy("shingle").orderBy("turn", "x")
-        pivots = stage(live.withColumn("k", F.row_number().over(order)).where(F.col("k") <= many).select("shingle", F.col("x").alias("p"), F.col("xn").alias("pn"), F.col("xl").alias("pl"), F.col("turn").alias("pt")), "pivots")
+        pivots = stage(live.withColumn("k", F.row_number().over(order)).where(F.col("k") <= many).select("shingle", F.col("x").alias("p"), F.col("xn").alias("pn"), F.col("xr").alias("pr"), F.col("xl").alias("pl"), F.col("turn").alias("pt")), "pivots")
         later = (F.col("turn") > F.col("pt")) | ((F.col("turn") == F.col("pt")) & (F.col("x") > F.col("p")))
-        pairs = live.join(pivots, "shingle").where(fits & later).select("x", "p").distinct()
+        pairs = live.join(pivots, "shingle").where(room & later & (F.col("xl") != F.col("pl"))).select("x", "p").distinct()
         pairs = pairs.join(known.select("x", "p"), ["x", "p"], "left_anti").join(known.select(F.col("p").alias("x"), F.col("x").alias("p")), ["x", "p"], "left_anti")
         pairs = stage(pairs, "pairs")
-        # a common pivot whose distances differ by more than the radius keeps two documents apart
-        from_x = known.select("x", F.col("p").alias("q"), F.col("distance").alias("dx"))
-        from_p = known.select(F.col("x").alias("p"), F.col("p").alias("q"), F.col("distance").alias("dp"))
-        apart = pairs.join(from_x, "x").join(from_p, ["p", "q"]).where(F.abs(F.col("dx") - F.col("dp")) > 1 - percent / 100 + 1e-9).select("x", "p").distinct()
-        near = stage(pairs.join(apart, ["x", "p"], "left_anti"), "near")
-        if not near.isEmpty():
-            new = _measured(near, rows, repeated, percent)
+        if not pairs.isEmpty():
+            # a common pivot whose distances differ by more than the radius keeps two documents apart
+            from_x = known.select("x", F.col("p").alias("q"), F.col("distance").alias("dx"))
+            from_p = known.select(F.col("x").alias("p"), F.col("p").alias("q"), F.col("distance").alias("dp"))
+            apart = pairs.join(from_x, "x").join(from_p, ["p", "q"]).where(F.abs(F.col("dx") - F.col("dp")) > 1 - percent / 100 + 1e-9).select("x", "p").distinct()
+            new = _measured(stage(pairs.join(apart, ["x", "p"], "left_anti"), "near"), rows, repeated, percent)
             known = stage(known.union(new), "known")
             nodes = _relabel(nodes, new.where("linked"))
         done = pivots.select("shingle", F.col("p").alias("x"))
-        live = live.select("shingle", "x").join(done, ["shingle", "x"], "left_anti")
+        live = live.select("shingle", "x", "xn", "xr").join(done, ["shingle", "x"], "left_anti")
         many *= 4
     labels = nodes.select(F.col("doc_id").alias("rep"), "label")
     out = members.join(labels, "rep", "left")
