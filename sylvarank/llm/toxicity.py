@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +18,8 @@ WINDOW, STRIDE = 64, 48
 HIDDEN, WORD, CHAR = 8, 8, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 16, 1 << 14
 INPUT = WORD + CHAR + 2
+#: Words that are prepared at a time while training, to keep the driver small.
+PART = 10_000
 EDGES = ".,;:!?|\"'()[]{}<>-*_"
 
 
@@ -189,9 +192,12 @@ def windows(flat: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]
             ends += [at + n] * len(s)
             of += [k] * len(s)
         at += n
-    cells = np.asarray(starts, np.int64)[:, None] + np.arange(WINDOW)
-    inside = cells < np.asarray(ends, np.int64)[:, None]
-    return np.where(inside, flat[np.minimum(cells, max(len(flat) - 1, 0))], 0), np.asarray(of, np.int64)
+    cells = np.asarray(starts, np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
+    past = cells >= np.asarray(ends, np.int32)[:, None]
+    np.minimum(cells, max(len(flat) - 1, 0), out=cells)
+    cells = flat[cells].astype(np.int32, copy=False)
+    cells[past] = 0
+    return cells, np.asarray(of, np.int64)
 
 
 def fit(rows: list[tuple[str, int]], rounds: int = 5, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
@@ -201,25 +207,41 @@ def fit(rows: list[tuple[str, int]], rounds: int = 5, batch: int = 128, rate: fl
     those that the network itself scores highest, as at prediction; so clean
     texts give the hardest of their windows and scores are fit to the maximum.
     """
-    texts = [split_words(t) for t, _ in rows]
+    vocabulary: dict[str, int] = {}
+    cells, sizes = array("i"), []
+    for text, _ in rows:
+        words = split_words(text)
+        sizes.append(len(words))
+        cells.extend(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words)
+    flat, names = np.frombuffer(cells, np.int32) if cells else np.zeros(0, np.int32), list(vocabulary)
+    del vocabulary
     label = np.asarray([y for _, y in rows], np.float32)
     n_toxic, n_clean = int(label.sum()), int((1 - label).sum())
+    buckets = np.concatenate([[0], word_buckets(names)]).astype(np.int32)
+    grams, counts = [np.zeros(0, np.int16)], [np.zeros(1, np.int64)]
+    for at in range(0, len(names), PART):
+        g, of = char_buckets(names[at : at + PART])
+        grams.append(g.astype(np.int16))
+        counts.append(np.bincount(of, minlength=len(names[at : at + PART])))
+    grams, counts = np.concatenate(grams), np.concatenate(counts)
+    ends = np.cumsum(counts)
     word_n, char_n = np.zeros((2, WORD_BUCKETS)), np.zeros((2, CHAR_BUCKETS))
-    for words, y in zip(texts, label.astype(int)):
-        once = list(dict.fromkeys(words))
-        word_n[y, np.unique(word_buckets(once))] += 1
-        char_n[y, np.unique(char_buckets(once)[0])] += 1
+    at = 0
+    for size, y in zip(sizes, label.astype(int)):
+        once = np.unique(flat[at : at + size])
+        at += size
+        n = counts[once]
+        word_n[y, np.unique(buckets[once])] += 1
+        char_n[y, np.unique(grams[np.repeat(ends[once] - np.cumsum(n), n) + np.arange(n.sum())])] += 1
     odds = log_odds(word_n[1], word_n[0], n_toxic, n_clean)
     net = Network.fresh(odds, log_odds(char_n[1], char_n[0], n_toxic, n_clean), 0.5)
     if not n_toxic or not n_clean:
         net.constant, net.prior = True, float(n_toxic > 0)
         return net
-    vocabulary: dict[str, int] = {}
-    flat = np.asarray([vocabulary.setdefault(w, len(vocabulary) + 1) for t in texts for w in t], np.int64)
-    names = list(vocabulary)
-    index, of = windows(flat, [len(t) for t in texts])
-    word_score = np.concatenate([[0], odds[word_buckets(names)]])
-    score = np.sort(word_score[index], axis=1)[:, -4:].sum(1)
+    index, of = windows(flat, sizes)
+    word_score = odds[buckets]
+    word_score[0] = 0
+    score = np.concatenate([np.sort(word_score[index[a : a + 1024]], axis=1)[:, -4:].sum(1) for a in range(0, len(index), 1024)] or [np.zeros(0)])
     r, moment, step = np.random.default_rng(seed), {}, 0
     weight = np.where(label > 0, 0.5 / n_toxic, 0.5 / n_clean) * len(label)
     for turn in range(rounds):
@@ -246,8 +268,13 @@ def fit(rows: list[tuple[str, int]], rounds: int = 5, batch: int = 128, rate: fl
                 moment[k] = (m, v)
                 net.p[k] = (net.p[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         if turn < rounds - 1:
-            x = net.project(net.inputs(names)[0])
-            score = np.concatenate([net.forward(x, index[a : a + 4096]) for a in range(0, len(index), 4096)])
+            x = {d: np.zeros((len(names) + 1, 3 * HIDDEN), np.float16) for d in "fb"}  # only ranks windows
+            for a in range(0, len(names), PART):
+                part = net.project(net.inputs(names[a : a + PART])[0])
+                for d in "fb":
+                    x[d][a + 1 : a + 1 + PART] = part[d][1:]
+            score = np.concatenate([net.forward(x, index[a : a + 1024]) for a in range(0, len(index), 1024)])
+            del x
     net.prior = 0.05
     return net
 
