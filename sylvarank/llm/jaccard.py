@@ -112,8 +112,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
     merge()
     yield flush()
-    top = np.argsort(-often_n, kind="stable")[:65_536]
-    top = top[often_n[top] > 2]
+    top = np.argsort(-often_n, kind="stable")[:131_072]
     none = pa.nulls(len(top), pa.int64())
     yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(often_h[top].view(np.int64)), pa.array(often_n[top])], names)
 
@@ -233,7 +232,7 @@ def _measured(pairs: DataFrame, rows: DataFrame, repeated: bool, percent: int) -
     return stage(common.select("x", "p", (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("distance"), (100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).alias("linked")), "distances")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 65_536) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 262_144) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per document, exact.
 
     Documents link when their sets' similarity is at least ``percent`` / 100;
@@ -243,12 +242,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     compared by 64-bit hashes, sets by 128 bits.
 
     ``heavy_limit`` bounds the list of frequent shingles that is sent to the
-    tasks (half a MB).  The list only sets the order, not what is found.
+    tasks (2 MB).  The list only sets the order, not what is found.
     """
     rows = _rows(docs, id_col, text_col)
     facts = stage(rows.mapInArrow(_facts, "doc_id long, n long, hi long, lo long, shingle long, times long"), "facts")
-    often = facts.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(heavy_limit).collect()
-    heavy = np.asarray([r["shingle"] for r in reversed(often)], np.int64).view(np.uint64)
+    often = facts.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(heavy_limit).select("shingle").toArrow()
+    heavy = often.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
     info = facts.where("shingle is null").select("doc_id", "n", "hi", "lo")
     classes = info.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     members = stage(info.join(classes, ["hi", "lo"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
