@@ -118,10 +118,10 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
-    """``shingle, doc_id, n, rest``: the regions of each document; texts with equal sets once per task.
+    """``shingle, doc_id, n, rest, often``: the regions of each document; texts with equal sets once per task.
 
     ``n`` is the size of the set, ``rest`` how many of its shingles come from
-    this one on in the common order.
+    this one on in the common order, ``often`` whether the shingle is in ``heavy``.
 
     ``heavy``: frequent shingles, the most frequent last.
     """
@@ -130,12 +130,13 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = sent.value
-        out, ids, sizes, held, seen = [], [], [], 0, set()
+        out, ids, sizes, rares, held, seen = [], [], [], [], 0, set()
 
         def flush() -> pa.RecordBatch:
             lengths, n = [len(x) for x in out], np.asarray(sizes, np.int32)
-            rest = np.concatenate([k - np.arange(m, dtype=np.int32) for k, m in zip(sizes, lengths)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.asarray(ids, np.int64), lengths)), pa.array(np.repeat(n, lengths)), pa.array(rest)], ["shingle", "doc_id", "n", "rest"])
+            at = np.concatenate([np.arange(m, dtype=np.int32) for m in lengths])
+            rest, often = np.repeat(n, lengths) - at, at >= np.repeat(np.asarray(rares, np.int32), lengths)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.asarray(ids, np.int64), lengths)), pa.array(np.repeat(n, lengths)), pa.array(rest), pa.array(often)], ["shingle", "doc_id", "n", "rest", "often"])
 
         for doc, s in _sets(batches):
             if not len(s) or doc is None:
@@ -146,24 +147,68 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
             seen.add(key)
             sizes.append(len(s))
             p = prefix_length(len(s), percent)
+            rare = s
             if len(known):
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 often = known[at] == s
                 rare = s[~often]
-                if len(rare) < p:
-                    few = np.flatnonzero(often)
-                    rare = np.concatenate([rare, s[few[np.argsort(place[at[few]])]][: p - len(rare)]])
-                s = rare
-            out.append(s[:p])
+            rares.append(len(rare))
+            if len(rare) < p:
+                few = np.flatnonzero(often)
+                rare = np.concatenate([rare, s[few[np.argsort(place[at[few]])]][: p - len(rare)]])
+            out.append(rare[:p])
             ids.append(doc)
             held += p
             if held > 500_000:
                 yield flush()
-                out, ids, sizes, held = [], [], [], 0
+                out, ids, sizes, rares, held = [], [], [], [], 0
         if out:
             yield flush()
 
-    return docs.mapInArrow(emit, "shingle long, doc_id long, n int, rest int")
+    return docs.mapInArrow(emit, "shingle long, doc_id long, n int, rest int, often boolean")
+
+
+def _shared(prefixes: DataFrame, percent: int, near: int = 8) -> DataFrame:
+    """The rows of ``prefixes`` whose shingle another document has, but for those that none can link with.
+
+    One shuffle brings the rows of a shingle together, sorted; a row is compared
+    with the ``near`` rows on either side, and kept unchecked where its shingle
+    has more.  Frequent shingles are kept as they are and dealt out by document,
+    so the rows of any other shingle are few: one that is not among the most
+    frequent of any task has at most a row in each of so many of the task's.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.RecordBatch | None = None
+
+        def chosen(rows: pa.RecordBatch) -> pa.RecordBatch:
+            key, doc, n, rest = (rows.column(k).to_numpy() for k in range(4))
+            n, rest = n.astype(np.int64), rest.astype(np.int64)
+            on = rows.column(4).to_numpy(zero_copy_only=False).copy()
+            for k in range(1, near + 1):
+                i = np.flatnonzero(key[k:] == key[:-k]) if len(key) > k else np.zeros(0, np.int64)
+                if not len(i):
+                    break
+                j = i + k
+                fit = ((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (n[i] + n[j])) & (doc[i] != doc[j])
+                on[i[fit]] = on[j[fit]] = True
+            _, group, sizes = np.unique(key, return_inverse=True, return_counts=True)
+            return rows.filter(pa.array(on | (sizes[group] > near + 1))).select([0, 1, 2, 3])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            key = rows.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last shingle may go on in the next batch
+            left = rows.slice(cut)
+            if cut:
+                yield chosen(rows.slice(0, cut))
+        if left is not None:
+            yield chosen(left)
+
+    dealt = prefixes.repartition(F.when(F.col("often"), F.xxhash64("doc_id")).otherwise(F.col("shingle")))
+    return dealt.sortWithinPartitions("shingle").mapInArrow(keep, "shingle long, doc_id long, n int, rest int")
 
 
 def _arrays(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -256,7 +301,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     repeated = not per_id.where("times > 1").isEmpty()
     nodes = stage(per_id.select("doc_id", "label"), "nodes")
 
-    prefixes = stage(_prefixes(rows, heavy, percent), "prefixes")
+    prefixes = stage(_shared(_prefixes(rows, heavy, percent), percent), "prefixes")
     pivot = F.min(F.struct(F.xxhash64("doc_id").alias("turn"), F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("pr")))
     shared = stage(prefixes.groupBy("shingle").agg(F.count("*").alias("times"), F.min("n").alias("least"), pivot.alias("m")).where("times > 1").select("shingle", "least", "m.p", "m.pn", "m.pr"), "shared")
     regions = prefixes.join(shared, "shingle").select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("rest").alias("xr"), "p", "pn", "pr", "least")
@@ -274,7 +319,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     known = _measured(nearest, rows, repeated, percent)
     nodes = _relabel(nodes, known.where("linked"))
 
-    many, live = 2, regions.select("shingle", "x", "xn", "xr")
+    many, live = 8, regions.select("shingle", "x", "xn", "xr")
     while True:
         labelled = live.join(nodes.select(F.col("doc_id").alias("x"), F.col("label").alias("xl")), "x")
         mixed = labelled.groupBy("shingle").agg(F.min("xl").alias("a"), F.max("xl").alias("b"), F.min("xn").alias("least")).where("a <> b").select("shingle", "least")
@@ -298,7 +343,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
             nodes = _relabel(nodes, new.where("linked"))
         done = pivots.select("shingle", F.col("p").alias("x"))
         live = live.select("shingle", "x", "xn", "xr").join(done, ["shingle", "x"], "left_anti")
-        many *= 4
+        many *= 8
     labels = nodes.select(F.col("doc_id").alias("rep"), "label")
     out = members.join(labels, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
