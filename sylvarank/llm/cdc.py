@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import broadcast_if_few, fresh_name, stage
 
 #: Bytes that the cut decision sees: the gear hash shifts older ones out of the bits that are tested.
 WINDOW = 16
@@ -70,14 +70,15 @@ def cut_points(marks: list[int], start: int, end: int, raw: bytes) -> list[int]:
 
 
 def chunk_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, length, words, hi, lo``: chunks with 128 bits of digest, without surrounding blanks.
+    """``doc_id, text_key, start, length, words, hi, lo``: chunks with 128 bits of digest, without surrounding blanks.
 
-    ``start`` and ``length`` are bytes of the UTF-8 text.  Null, empty and blank
-    texts have no chunks, and rows without an id none either.
+    ``start`` and ``length`` are bytes of the UTF-8 text; ``text_key`` is the
+    text's 64-bit hash, which tells rows that share an id apart.  Null, empty
+    and blank texts have no chunks, and rows without an id none either.
     """
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        def emit(ids: list[int], keys: list[int], texts: list[bytes]) -> pa.RecordBatch:
             raw = b"".join(texts)
             data = np.frombuffer(raw, np.uint8)
             marks = candidates(data)
@@ -89,13 +90,14 @@ def chunk_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             begins[1:] &= blank[:-1]
             begins[edges[:-1][edges[:-1] < len(data)]] = ~blank[edges[:-1][edges[:-1] < len(data)]]
             heads = np.concatenate([[0], np.cumsum(begins)])
-            docs_, starts, ends, digests = [], [], [], []
+            docs_, of, starts, ends, digests = [], [], [], [], []
             for k, doc in enumerate(ids):
                 at = int(edges[k])
                 for end in cut_points(marks[split[k] : split[k + 1]], at, int(edges[k + 1]), raw):
                     piece = raw[at:end].strip()
                     if piece:
                         docs_.append(doc)
+                        of.append(keys[k])
                         starts.append(at)
                         ends.append(end)
                         digests.append(blake2b(piece, digest_size=16).digest())
@@ -103,34 +105,37 @@ def chunk_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             s, e = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
             first = edges[np.searchsorted(edges, s, "right") - 1]
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array((s - first).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array((heads[e] - heads[s]).astype(np.int32)), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "start", "length", "words", "hi", "lo"])
+            return pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(of, pa.int64()), pa.array((s - first).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array((heads[e] - heads[s]).astype(np.int32)), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "text_key", "start", "length", "words", "hi", "lo"])
 
-        ids, texts, held = [], [], 0
+        ids, keys, texts, held = [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, key in zip(*(c.to_pylist() for c in batch.columns)):
                 if doc is not None and text:
                     ids.append(doc)
+                    keys.append(key)
                     texts.append(text.encode())
                     held += len(texts[-1])
                     if held > BUFFER:
-                        yield emit(ids, texts)
-                        ids, texts, held = [], [], 0
+                        yield emit(ids, keys, texts)
+                        ids, keys, texts, held = [], [], [], 0
         if ids:
-            yield emit(ids, texts)
+            yield emit(ids, keys, texts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(chunk, "doc_id long, start int, length int, words int, hi long, lo long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    return rows.mapInArrow(chunk, "doc_id long, text_key long, start int, length int, words int, hi long, lo long")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages that an earlier document has: ``doc_id, start, length, words, first_doc_id, kept_in``.
+    """Passages that an earlier document has: ``doc_id, start, length, words, first_doc_id, kept_in, text_key``.
 
     A chunk belongs to the document with the smallest id that has it; elsewhere
     it is a repeat.  Adjacent repeats join to a passage, which counts from
     ``least_words`` words on (a passage of over 50 words holds some 15 words or
     more of whole chunks wherever it was put).  ``kept_in`` lists the documents
     that keep its chunks, ``first_doc_id`` is the least of them.  What repeats
-    only within one document stays.  An id names one text: rows that repeat it
-    are the same document.
+    only within one document stays, and rows with one id are one document.  Rows that
+    repeat an id and a text give their passages once; rows with one id and
+    different texts each their own, told apart by ``text_key``.
 
     Digests are counted with partial sums, so a chunk that very many documents
     share is one row per task; the join that finds the repeats gets at most one
@@ -139,13 +144,13 @@ def repeated_passages(docs: DataFrame, least_words: int = 15, id_col: str = "doc
     chunks = chunk_texts(docs, id_col, text_col)
     owners = chunks.groupBy("hi", "lo").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
     owners = stage(owners, "chunk-owners")  # the join below gets its own exchange, whose hot digests can be split
-    repeats = chunks.join(owners, ["hi", "lo"]).where("doc_id > owner").select("doc_id", "start", "length", "words", "owner")
-    order = Window.partitionBy("doc_id").orderBy("start", "length")
+    repeats = chunks.join(owners, ["hi", "lo"]).where("doc_id > owner").select("doc_id", "text_key", "start", "length", "words", "owner")
+    order = Window.partitionBy("doc_id", "text_key").orderBy("start", "length")
     before = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = repeats.dropDuplicates(["doc_id", "start"]).withColumn("opens", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    opens = repeats.dropDuplicates(["doc_id", "text_key", "start"]).withColumn("opens", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
     runs = opens.withColumn("run", F.sum("opens").over(order))
-    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("words"), F.sort_array(F.collect_set("owner")).alias("kept_in"))
-    return found.where(F.col("words") >= least_words).select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), F.col("words").cast("int").alias("words"), F.element_at("kept_in", 1).alias("first_doc_id"), "kept_in")
+    found = runs.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("words"), F.sort_array(F.collect_set("owner")).alias("kept_in"))
+    return found.where(F.col("words") >= least_words).select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), F.col("words").cast("int").alias("words"), F.element_at("kept_in", 1).alias("first_doc_id"), "kept_in", "text_key")
 
 
 def remove_spans(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -156,13 +161,19 @@ def remove_spans(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def drop_repeats(docs: DataFrame, least_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, least_words: int = 15, id_col: str = "doc_id", text_col: str = "text", most: int = 300_000) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text_col``; other columns stay as they are.
 
     A document of which nothing but blanks is left goes; one without repeats is
     returned unchanged, null and empty texts and rows without an id included.
+    Passages are found by id and text, so rows that share an id but not a text
+    lose nothing of each other's.
+
+    The places to cut are joined to the texts: sent to the tasks if they are of
+    at most ``most`` documents (some 40 MB), by a shuffle of the texts otherwise.
     """
-    spans = repeated_passages(docs, least_words, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("_spans")).withColumnRenamed("doc_id", "_spans_of")
+    found = repeated_passages(docs, least_words, id_col, text_col).select("doc_id", "text_key", F.struct("start", "length").alias("span"))
+    spans = stage(found.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias(fresh_name(docs, "spans"))), "spans")
     schema = docs.schema
     place = [f.name for f in schema].index(text_col)
 
@@ -177,5 +188,6 @@ def drop_repeats(docs: DataFrame, least_words: int = 15, id_col: str = "doc_id",
             columns = [pa.array(texts, batch.schema.field(place).type) if i == place else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema]).filter(pa.array(keep, pa.bool_()))
 
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("_spans_of"), "left").drop("_spans_of")
+    here = (docs[id_col].cast("long") == spans["doc_id"]) & (F.xxhash64(docs[text_col]) == spans["text_key"])
+    joined = docs.join(broadcast_if_few(spans, most), here, "left").select(*(docs[c] for c in docs.columns), spans[spans.columns[-1]])
     return joined.mapInArrow(cut, schema)

@@ -97,7 +97,43 @@ def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int
     from pyspark.sql import Window
 
     order = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
+    rank = fresh_name(rows, "rank")
+    return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= per_label).drop(rank)
+
+
+def sampled_texts(docs: DataFrame, picked: DataFrame, most_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, y, text``: whole texts of the sample ``id, y``, of each label in order of the id hash until ``most_bytes`` are reached.
+
+    Sample rows are found by a broadcast join, so only their texts are moved.
+    """
+    from pyspark.sql import Window
+
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(picked), texts["doc"] == picked["id"]).select("id", "y", "text")
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("upto", F.sum(F.octet_length("text")).over(order)).where(F.col("upto") <= most_bytes).drop("upto")
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (stem, *(f"{stem}_{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+
+
+def broadcast_if_few(rows: DataFrame, most: int) -> DataFrame:
+    """A staged table with a broadcast hint if it has at most ``most`` rows; else the planner's join."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``; rows without an id stay.
+
+    Up to ``most`` ids are sent to the tasks (8 MB), so that no text is shuffled;
+    more are joined by a shuffle.
+    """
+    name = fresh_name(docs, "gone")
+    gone = stage(ids.select(F.col(ids.columns[0]).cast("long").alias(name)).where(F.col(name).isNotNull()).distinct(), "ids")
+    return docs.join(broadcast_if_few(gone, most), docs[id_col].cast("long") == gone[name], "left_anti")
 
 
 def remainder(id_col: str, mod: int):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, sampled_texts
 
 ORDERS = (1, 2, 3, 4)
 EDGE = 0x110000
@@ -82,16 +82,17 @@ def fit_languages(rows: list[tuple[str, str]], buckets: int = 1 << 16, smooth: f
     return Languages(names, np.log((counts + smooth) / (counts.sum(0) + smooth * buckets)))
 
 
-def learn_languages(docs: DataFrame, training, per_language: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
+def learn_languages(docs: DataFrame, training, per_language: int = 1500, most_bytes: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Fits n-gram models on at most ``per_language`` documents of each language.
 
     The sample is the documents with the smallest id hashes among the rows that
     ``training`` admits and that have a language, an id and a text; ids are
-    picked before texts are read, so no text is shuffled.
+    picked before texts are read, and texts are read whole until those of a
+    language reach ``most_bytes``.
     """
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = labelled_sample(rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")), "_id", "_lang", per_language)
-    got = rows.join(F.broadcast(picked.select("_id").distinct()), F.col(id_col) == F.col("_id"), "left_semi").select(lang_col, text_col).collect()
+    picked = labelled_sample(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("y")), "id", "y", per_language)
+    got = sampled_texts(rows, picked, most_bytes, id_col, text_col).select("y", "text").collect()
     return fit_languages([(r[0], r[1]) for r in got])
 
 

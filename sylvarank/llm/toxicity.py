@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, sampled_texts
 
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD, CHAR = 8, 8, 8
@@ -279,69 +279,99 @@ def fit(rows: list[tuple[str, int]], rounds: int = 5, batch: int = 128, rate: fl
     return net
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, training, per_label: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, training, per_label: int = 2000, most_bytes: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
     """Fits the network to at most ``per_label`` labelled documents of each label.
 
     The sample is those with the smallest id hashes among the labels that
     ``training`` admits; it is picked from the labels alone, and only its texts
-    are read.  Null labels, ids and texts are left out.
+    are read, whole, until those of a label reach ``most_bytes``.  Null labels,
+    ids and texts are left out.
     """
-    known = labels.where(training & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    picked = labelled_sample(known, "_id", "_y", per_label)
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", text_col, "_y").collect()
+    known = labels.where(training & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    picked = labelled_sample(known, "id", "y", per_label)
+    rows = sampled_texts(docs, picked, most_bytes, id_col, text_col).select("id", "text", "y").collect()
     return fit([(r[1], int(r[2] > 0)) for r in sorted(rows, key=lambda r: (r[0], r[1]))])
 
 
-def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: int = 300_000, block: int = 4096) -> DataFrame:
+class Scorer:
+    """Scores batches of texts; a task keeps the projected inputs of the words it has met."""
+
+    def __init__(self, net: Network, keep: int = 300_000, block: int = 4096):
+        self.net, self.keep, self.block = net, keep, block
+        self.known: dict[str, int] = {}
+        self.tables = {d: np.zeros((4096, 3 * HIDDEN), np.float32) for d in "fb"}
+
+    def scores(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text its score and its number of windows."""
+        own, tables = self.net, self.tables
+        if len(self.known) > self.keep:
+            self.known = {}
+        known = self.known
+        fresh = list(dict.fromkeys(w for t in texts for w in t if w not in known))
+        if fresh:
+            at = len(known) + 1
+            got = own.project(own.inputs(fresh)[0])
+            for d in "fb":
+                if at + len(fresh) > len(tables[d]):
+                    tables[d] = np.concatenate([tables[d][:at], np.zeros((max(len(tables[d]), len(fresh)), 3 * HIDDEN), np.float32)])
+                tables[d][at : at + len(fresh)] = got[d][1:]
+            known.update(zip(fresh, range(at, at + len(fresh))))
+        sizes = [len(t) for t in texts]
+        best, n = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
+        if sum(sizes):
+            index, of = windows(np.fromiter((known[w] for t in texts for w in t), np.int64, sum(sizes)), sizes)
+            short = (index[:, -1] == 0).astype(int)
+            for part in (np.flatnonzero(short == 0), np.flatnonzero(short)):
+                for a in range(0, len(part), self.block):
+                    rows = part[a : a + self.block]
+                    np.maximum.at(best, of[rows], own.forward(tables, index[rows]))
+            n = np.bincount(of, minlength=len(texts))
+        if own.constant:
+            return np.full(len(texts), own.prior), n
+        return np.where(n > 0, sigmoid(np.where(n > 0, best, 0)), own.prior), n
+
+    def runs(self, batch: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``start, stop, scores, windows`` of runs of rows of a batch that hold a bounded number of words."""
+        start, texts, held, column = 0, [], 0, batch.column(place)
+        for k in range(batch.num_rows):
+            texts.append(split_words(column[k].as_py()))
+            held += len(texts[-1]) + 8
+            if held > 4 * self.block * STRIDE or k == batch.num_rows - 1:
+                yield start, k + 1, *self.scores(texts)
+                start, texts, held = k + 1, [], 0
+
+
+def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, windows``: the highest probability over all overlapping windows of the whole text.
 
     Null, empty and blank texts get a fixed low score and no windows.  Rows keep
     their multiplicity; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("windows", pa.int64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        known: dict[str, int] = {}
-        tables = {d: np.zeros((4096, 3 * HIDDEN), np.float32) for d in "fb"}
-
-        def emit(ids: list[int], texts: list[list[str]]) -> pa.RecordBatch:
-            nonlocal known
-            if len(known) > keep:
-                known = {}
-            fresh = list(dict.fromkeys(w for t in texts for w in t if w not in known))
-            if fresh:
-                at = len(known) + 1
-                got = own.project(own.inputs(fresh)[0])
-                for d in "fb":
-                    if at + len(fresh) > len(tables[d]):
-                        tables[d] = np.concatenate([tables[d][:at], np.zeros((max(len(tables[d]), len(fresh)), 3 * HIDDEN), np.float32)])
-                    tables[d][at : at + len(fresh)] = got[d][1:]
-                known.update(zip(fresh, range(at, at + len(fresh))))
-            sizes = [len(t) for t in texts]
-            best, n = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
-            if sum(sizes):
-                index, of = windows(np.fromiter((known[w] for t in texts for w in t), np.int64, sum(sizes)), sizes)
-                short = (index[:, -1] == 0).astype(int)
-                for part in (np.flatnonzero(short == 0), np.flatnonzero(short)):
-                    for a in range(0, len(part), block):
-                        rows = part[a : a + block]
-                        np.maximum.at(best, of[rows], own.forward(tables, index[rows]))
-                n = np.bincount(of, minlength=len(ids))
-            value = np.full(len(ids), own.prior) if own.constant else np.where(n > 0, sigmoid(np.where(n > 0, best, 0)), own.prior)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(value), pa.array(n)], schema=schema)
-
-        ids, texts, held = [], [], 0
+        scorer = Scorer(sent.value)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc)
-                texts.append(split_words(text))
-                held += len(texts[-1]) + 8
-                if held > 4 * block * STRIDE:
-                    yield emit(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield emit(ids, texts)
+            for a, b, value, n in scorer.runs(batch, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(value), pa.array(n)], ["doc_id", "score", "windows"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double, windows long")
+
+
+def drop_toxic(docs: DataFrame, net: Network, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text scores ``least`` or more; every other row and column stays as it is.
+
+    Rows are scored and kept or dropped in one pass, so texts are not shuffled.
+    Each row is judged by its own text, rows without an id or with an id that
+    others have too.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            for a, b, value, _ in scorer.runs(batch, place):
+                yield batch.slice(a, b - a).filter(pa.array(value < least))
+
+    return docs.mapInArrow(keep, docs.schema)

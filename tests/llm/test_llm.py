@@ -26,7 +26,7 @@ def words(r, n, vocabulary=4000):
 def edge(spark):
     """Rows with nulls, empty, blank and very long texts, ties, and extra columns whose names the operators use inside."""
     df = spark.createDataFrame(EDGE, SCHEMA)
-    for name in ("label", "n", "start", "length", "shingle", "rep", "unit", "grp", "node", "score", "_rank", "place", "task"):
+    for name in ("label", "n", "start", "length", "shingle", "rep", "unit", "grp", "node", "score", "_rank", "place", "task", "_bad", "_toxic", "_other", "_spans_of", "_y", "_id", "doc", "id", "y", "gone", "spans", "text_key", "span", "upto", "rank"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
@@ -415,6 +415,27 @@ def test_repeated_passages(spark):
             assert left[d] == text
 
 
+def test_rows_that_share_an_id(spark):
+    """Null and different texts under one id: cuts belong to the row whose text they are of."""
+    r = random.Random(4)
+    shared, own = " ".join(words(r, 200)), " ".join(words(r, 200))
+    docs = spark.createDataFrame([(1, shared), (2, shared + " " + own), (2, None), (2, own), (2, own), (None, shared), (3, shared)], SCHEMA)
+    got = sorted((t[0] or 0, t[1] or "") for t in cdc.drop_repeats(docs).collect())
+    assert [g for g in got if g[0] == 0] == [(0, shared)] and (1, shared) in got and not any(g[0] == 3 for g in got)
+    two = [t for i, t in got if i == 2]
+    assert len(two) == 4 and two[0] == "" and two.count(own) == 2
+    assert any(t.endswith(own) and len(t) < len(shared) + len(own) for t in two if t not in ("", own))
+    assert cdc.drop_repeats(docs, most=0).count() == len(got)
+
+
+def test_without_ids(spark, edge):
+    from sylvarank.llm.common import without_ids
+
+    gone = spark.createDataFrame([(4,), (4,), (None,), (99,)], "x long")
+    for most in (0, 10):
+        assert sorted(str(r["doc_id"]) for r in without_ids(edge, gone, most=most).collect()) == sorted(str(i) for i, _ in EDGE if i != 4)
+
+
 def test_pipeline_edges(spark, edge, tmp_path):
     import corpus_pipeline as cp
 
