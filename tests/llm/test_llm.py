@@ -317,9 +317,33 @@ def brute_components(rows):
 
 def test_jaccard_against_brute_force(spark, small):
     df = spark.createDataFrame(small, SCHEMA).repartition(5)
-    for heavy in (65_536, 1):
-        got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(df, heavy_limit=heavy).collect()}
-        assert got == brute_components(small)
+    want = brute_components(small)
+    for heavy, pivots in ((65_536, 1024), (1, 0), (65_536, 12), (300, 3)):
+        got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(df, heavy_limit=heavy, pivots=pivots, rows_per_part=200).collect()}
+        assert got == want, (heavy, pivots)
+
+
+def test_cells_and_windows(spark):
+    """Families around a pivot whose outer members link only with each other, not with the pivot."""
+    r, rows = random.Random(3), []
+    for family in range(6):
+        text = words(r, 100, 50_000)
+        for step in range(12):  # each step moves on from the one before
+            text = list(text)
+            for _ in range(2):
+                text[r.randrange(len(text))] = f"z{r.randrange(10**6)}"
+            rows.append((100 * family + step, " ".join(text)))
+    want = brute_components(rows)
+    assert 6 <= len({c for _, c in want.values()}) < len(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for pivots in (5, 20):
+        assert {x[0]: (x[1], x[2]) for x in jaccard.jaccard_components(df, pivots=pivots).collect()} == want
+    sets = [jaccard.shingle_set(t, jaccard._Hashes()) for _, t in rows]
+    net = jaccard.Pivots(sets, 75)
+    for s in sets:
+        assert all(np.array_equal(jaccard.unpacked(jaccard.packed(x)), x) for x in (s, s[:0]))
+    kept = [s for s in sets if net.common(s).max() == len(s)]
+    assert len(kept) >= len(net.sizes)
 
 
 def test_jaccard_edges(spark, edge, none):
