@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,19 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/sylvarank/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dense_ranks(values: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``value, rank``: the distinct values of the one column, ranked from 0 in their order, nulls first.
+
+    Values are dealt to ranges, ranked within each, and shifted by the number of
+    values in the ranges before, so no task gets all of them.
+    """
+    parts = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = values.select(F.col(values.columns[0]).alias("value")).distinct()
+    dealt = stage(one.repartitionByRange(parts, "value").select("value", F.spark_partition_id().alias("part")), "ranges")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row per range
+    inside = dealt.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("value")))
+    return stage(inside.join(F.broadcast(sizes), "part").select("value", (F.col("before") + F.col("at") - 1).alias("rank")), "ranks")
