@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,15 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A tile of 24 x 24 samples is nine blocks of 64 coefficients.
-TILE = 576
+#: A tile of 24 x 24 samples is nine blocks of 64 coefficients, and a restart interval.
+TILE, TILE_BLOCKS = 576, 9
 TALLEST = 65_535 // 24
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Fewer restart intervals than this are decoded one by one, more side by side.
+SIDE_BY_SIDE = 48
 
-#: Size categories of DC differences (0..8): a code of 10 - s bits and s bits make 10.
-DC_LENGTHS = {s: 10 - s for s in range(8, -1, -1)}
-#: The only AC symbol: no zeros before, category 8.  A coefficient is its one-bit code and the byte.
-AC_LENGTHS = {0x08: 1}
+#: Code lengths of the categories of DC differences.
+DC_LENGTHS = {0: 3, 1: 4, 2: 4, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 8: 5}
+#: AC symbols have no zeros before them and a category of 1 to 8; frequent bytes have short codes.
+AC_LENGTHS = {1: 2, 2: 2, 3: 2, 4: 3, 5: 4, 6: 5, 7: 6, 8: 7}
+#: Bytes that are frequent in texts and in what fills them up, most frequent first; fixed values.
+FREQUENT = b" \xffeatoinsrlhducmpgfybvkw,.\nzqjx-'\"TAISCMHEWNBPRDLFOG0123456789"
 
 
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -42,43 +47,91 @@ def _dht(kind: int, lengths: dict[int, int]) -> bytes:
     return _segment(0xC4, bytes([kind]) + bytes(sum(n == k for _, n in by) for k in range(1, 17)) + bytes(s for s, _ in by))
 
 
+def _value_bits(value: int) -> tuple[int, int]:
+    """Category and value bits of a coefficient."""
+    size = abs(value).bit_length()
+    return size, value if value > 0 else value + (1 << size) - 1
+
+
 @lru_cache(1)
-def _dc_bits() -> np.ndarray:
-    """The ten bits of each DC difference from -255 to 255."""
-    codes, out = canonical(DC_LENGTHS), np.zeros((511, 10), np.uint8)
-    for diff in range(-255, 256):
-        size = abs(diff).bit_length()
-        code, _ = codes[size]
-        value = code << size | (diff if diff > 0 else diff + (1 << size) - 1)
-        out[diff + 255] = [value >> (9 - k) & 1 for k in range(10)]
+def byte_coefficients() -> np.ndarray:
+    """The AC coefficient of each byte: 1, -1, 2, -2, ... by frequency, never 0."""
+    order = [*FREQUENT, *(b for b in range(256) if b not in FREQUENT)]
+    out = np.zeros(256, np.int16)
+    out[order] = [(k // 2 + 1) * (1 if k % 2 == 0 else -1) for k in range(256)]
     return out
 
 
-def encode_jpeg(payload: bytes) -> bytes:
-    """A grey baseline JPEG whose quantised coefficients are the payload's bytes.
-
-    ``payload`` is a positive multiple of 576 bytes.  64 bytes make a block: the
+@lru_cache(1)
+def _tokens() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code and value bits, and their number, of DC differences from -255 to 255 and of AC bytes."""
+    tables, out = (canonical(DC_LENGTHS), canonical(AC_LENGTHS)), []
+    for table, values in zip(tables, (range(-255, 256), byte_coefficients().tolist())):
+        told = [(*table[size], size, bits) for size, bits in map(_value_bits, values)]
+        out += [np.asarray([code << size | bits for code, _, size, bits in told], np.int64), np.asarray([n + size for _, n, size, _ in told], np.int64)]
+    return tuple(out)
+
+
+def _scans(tiles: np.ndarray) -> list[bytes]:
+    """The entropy-coded bytes of each tile, filled up with ones, all tiles at once."""
+    dc_bits, dc_n, ac_bits, ac_n = _tokens()
+    bits, n = ac_bits[tiles], ac_n[tiles]
+    dc = np.diff(tiles[:, ::64].astype(np.int64) - 128, axis=1, prepend=0) + 255
+    bits[:, ::64], n[:, ::64] = dc_bits[dc], dc_n[dc]
+    total = n.sum(1)
+    stops = np.cumsum(-(-total // 8))
+    starts = np.concatenate([[0], stops[:-1]])
+    fill = -total % 8
+    bits, n = np.concatenate([bits, ((1 << fill) - 1)[:, None]], 1), np.concatenate([n, fill[:, None]], 1)
+    at = (np.cumsum(n, axis=1) - n + 8 * starts[:, None]).ravel()
+    # a token of at most 16 bits touches two words of 16 bits; tokens do not overlap, so sums are unions
+    field = bits.ravel() << (32 - (at & 15) - n.ravel())
+    words, last = at >> 4, int(stops[-1]) // 2 + 2 if len(stops) else 2
+    out = np.bincount(words, field >> 16, last) + np.bincount(words + 1, field & 0xFFFF, last)
+    raw = out.astype(">u2").tobytes()
+    return [raw[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip(starts.tolist(), stops.tolist())]
+
+
+def encode_jpegs(payloads: list[bytes]) -> list[bytes]:
+    """Grey baseline JPEGs whose quantised coefficients stand for the payloads' bytes.
+
+    A payload is a positive multiple of 576 bytes.  64 bytes make a block: the
     first, less 128, is the DC coefficient (quantiser 8, so it is the block's
-    mean luminance), each other one an AC coefficient of category 8, which has
-    exactly 256 values.  Sums of code and value bits are constant, so both ways
-    are array operations.  A comment holds the payload's length.
+    mean luminance), each other one the AC coefficient that stands for the byte.
+    Nine blocks are a restart interval, so a decoder can read many at once.  A
+    comment holds the payload's length.
     """
-    tiles = len(payload) // TILE
-    columns = -(-tiles // TALLEST)
-    rows = -(-tiles // columns)
-    blocks = np.zeros((rows * columns * 9, 64), np.uint8)
-    blocks.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    bits = np.zeros((len(blocks), 577), np.uint8)
-    dc = blocks[:, 0].astype(np.int16) - 128
-    bits[:, :10] = _dc_bits()[np.diff(dc, prepend=np.int16(0)) + 255]
-    bits[:, 10:].reshape(-1, 63, 9)[:, :, 1:] = np.unpackbits(blocks[:, 1:], axis=1).reshape(-1, 63, 8)
-    flat = bits.ravel()
-    scan = np.packbits(np.concatenate([flat, np.ones(-len(flat) % 8, np.uint8)])).tobytes().replace(b"\xff", b"\xff\x00")
-    return b"".join([
-        b"\xff\xd8", _segment(0xFE, b"payload=%d" % len(payload)), _segment(0xDB, b"\x00\x08" + b"\x01" * 63),
-        _segment(0xC0, struct.pack(">BHHB", 8, rows * 24, columns * 24, 1) + b"\x01\x11\x00"),
-        _dht(0x00, DC_LENGTHS), _dht(0x10, AC_LENGTHS), _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00"), scan, b"\xff\xd9",
-    ])
+    flat = []
+    shapes = []
+    for payload in payloads:
+        tiles = len(payload) // TILE
+        columns = -(-tiles // TALLEST)
+        rows = -(-tiles // columns)
+        shapes.append((rows, columns))
+        flat += [payload, bytes(rows * columns * TILE - len(payload))]
+    scans, out, at = _scans(np.frombuffer(b"".join(flat), np.uint8).reshape(-1, TILE)), [], 0
+    for payload, (rows, columns) in zip(payloads, shapes):
+        n = rows * columns
+        parts = [scans[at]]
+        for k in range(1, n):
+            parts += [_RESTARTS[(k - 1) % 8], scans[at + k]]
+        at += n
+        out.append(b"".join([
+            b"\xff\xd8", _segment(0xFE, b"payload=%d" % len(payload)), _FIXED[0],
+            _segment(0xC0, struct.pack(">BHHB", 8, rows * 24, columns * 24, 1) + b"\x01\x11\x00"), _FIXED[1], *parts, b"\xff\xd9",
+        ]))
+    return out
+
+
+def encode_jpeg(payload: bytes) -> bytes:
+    return encode_jpegs([payload])[0]
+
+
+_RESTARTS = [bytes([0xFF, 0xD0 + k]) for k in range(8)]
+_FIXED = (
+    _segment(0xDB, b"\x00\x08" + b"\x01" * 63),
+    _dht(0x00, DC_LENGTHS) + _dht(0x10, AC_LENGTHS) + _segment(0xDD, struct.pack(">H", TILE_BLOCKS)) + _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00"),
+)
 
 
 def parse_markers(data: bytes) -> dict:
@@ -116,121 +169,172 @@ def parse_markers(data: bytes) -> dict:
             return out
 
 
-def _even(dc: dict[int, int], ac: dict[int, int]) -> bool:
-    """Whether every DC difference takes as many bits, and every AC coefficient."""
-    return len(ac) == 1 and next(iter(ac)) >> 4 == 0 < next(iter(ac)) & 15 <= 8 and len({s + n for s, n in dc.items()}) == 1 and max(s + n for s, n in dc.items()) <= 16
+@lru_cache(64)
+def _lookup(lengths: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Of each 16 bits: the number of code bits times 256, plus the symbol; 0 where no code begins them."""
+    out = np.zeros(1 << 16, np.int32)
+    for symbol, (code, n) in canonical(dict(lengths)).items():
+        out[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | symbol
+    return out
 
 
-def _decode_even(scan: bytes, blocks: int, dc: dict[int, int], ac: dict[int, int]) -> np.ndarray:
-    (symbol, code_bits), dc_bits = next(iter(ac.items())), next(s + n for s, n in dc.items())
-    size, step = symbol & 15, (symbol & 15) + code_bits
-    raw = np.unpackbits(np.frombuffer(scan.replace(b"\xff\x00", b"\xff"), np.uint8))
-    width = dc_bits + 63 * step
-    if len(raw) < blocks * width:
+class _Layout:
+    """How a scan's restart intervals are to be read: the tables of the blocks of a unit, and the units of each interval."""
+
+    def __init__(self, jpeg: dict):
+        parts = [c for c in jpeg["components"] if c[0] in jpeg["scan_tables"]]
+        h, v = (max(c[k] for c in jpeg["components"]) for k in (1, 2))
+        self.single = len(parts) == 1
+        step = (8, 8) if self.single else (8 * h, 8 * v)
+        self.wide, self.high = -(-jpeg["width"] // step[0]), -(-jpeg["height"] // step[1])
+        self.cells = [(1, 1) if self.single else c[1:3] for c in parts]
+        #: Of each block of a unit its component, and that component's tables.
+        self.turns = tuple(i for i, (a, b) in enumerate(self.cells) for _ in range(a * b))
+        key = lambda k: tuple(jpeg["dht"][k].items())
+        self.tables = tuple((key(jpeg["scan_tables"][c[0]][0]), key(16 + jpeg["scan_tables"][c[0]][1])) for c in parts)
+        units = self.wide * self.high
+        per = jpeg["restart"] or units
+        self.units = [min(per, units - k) for k in range(0, units, per)]
+        pieces = re.split(rb"\xff[\xd0-\xd7]", jpeg["scan"]) if jpeg["restart"] else [jpeg["scan"]]
+        self.pieces = [p.replace(b"\xff\x00", b"\xff") for p in pieces[: len(self.units)]]
+        if len(self.pieces) < len(self.units):
+            raise ValueError("the scan is cut off")
+
+    def luminance(self, blocks: np.ndarray) -> np.ndarray:
+        """The first component's coefficients as rows x columns x 64, from all blocks in scan order."""
+        a, b = self.cells[0]
+        mine = blocks.reshape(-1, len(self.turns), 64)[:, : a * b].reshape(self.high, self.wide, b, a, 64)
+        return mine.transpose(0, 2, 1, 3, 4).reshape(self.high * b, self.wide * a, 64)
+
+
+def _words(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 32 bits that begin at each byte of the pieces, and each piece's first byte and end; zeros follow a piece."""
+    raw = np.frombuffer(b"".join([x for p in pieces for x in (p, b"\0\0\0\0\0\0")] + [b"\0" * 4]), np.uint8).astype(np.int64)
+    sizes = np.asarray([len(p) for p in pieces], np.int64)
+    starts = np.cumsum(sizes + 6) - sizes - 6
+    return raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:], np.stack([starts, starts + sizes], 1)
+
+
+def _read_side_by_side(words: np.ndarray, spans: np.ndarray, counts: np.ndarray, tables, turns: tuple[int, ...], out: np.ndarray) -> None:
+    """Decodes many intervals at once, a symbol of each at a time; ``out`` gets DC differences and AC coefficients."""
+    lut = np.concatenate([_lookup(t) for pair in tables for t in pair])
+    unit = np.asarray(turns, np.int64)
+    place = (np.cumsum(counts) - counts) * 64
+    pos, last, base, left, k, block = spans[:, 0] * 8, spans[:, 1] * 8, place, counts.copy(), np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    flat = out.reshape(-1)
+    while len(pos):
+        w = words[pos >> 3] >> (16 - (pos & 7)) & 0xFFFF
+        table = 2 * unit[block % len(unit)] + (k > 0) if len(unit) > 1 else (k > 0).astype(np.int64)
+        entry = lut[(table << 16) + w]
+        if (entry == 0).any():
+            raise ValueError("a code that the tables do not have, or a scan that is cut off")
+        pos = pos + (entry >> 8)
+        symbol = entry & 255
+        ac = k > 0
+        size = np.where(ac, symbol & 15, symbol)
+        v = (words[pos >> 3] >> (7 - (pos & 7)) & 0x1FFFFFF) >> (25 - size)
+        pos = pos + size
+        v = np.where(v >> np.maximum(size - 1, 0) == 0, v - (1 << size) + 1, v)
+        ended = ac & (symbol == 0)
+        k = np.where(ended, 64, k + np.where(ac, symbol >> 4, 0))
+        if (k[~ended] > 63).any() or (pos > last).any():
+            raise ValueError("the scan is cut off or damaged")
+        live = ~ended if ended.any() else slice(None)
+        flat[(base + k)[live]] = v[live]
+        k = np.where(ended, 64, k + 1)
+        over = k > 63
+        if over.any():
+            block, base, left, k = block + over, base + 64 * over, left - over, np.where(over, 0, k)
+            if (left == 0).any():
+                go = left > 0
+                pos, last, base, left, k, block = (x[go] for x in (pos, last, base, left, k, block))
+
+
+def _read_one(words: list[int], start: int, end: int, count: int, tables, turns: tuple[int, ...], out: np.ndarray) -> None:
+    """Decodes one interval symbol by symbol, each by one look at the next 16 bits."""
+    luts = [[_lookup(t).tolist() for t in pair] for pair in tables]
+    pos, last = 8 * start, 8 * end
+    for n in range(count):
+        dc, ac = luts[turns[n % len(turns)]]
+        row, k, lut = [0] * 64, 0, dc
+        while k < 64:
+            entry = lut[words[pos >> 3] >> 16 - (pos & 7) & 0xFFFF]
+            if not entry or pos > last:
+                raise ValueError("a code that the tables do not have, or a scan that is cut off")
+            pos += entry >> 8
+            symbol = entry & 255
+            if k:
+                if not symbol:
+                    break
+                k += symbol >> 4
+                symbol &= 15
+            if symbol:
+                if k > 63:
+                    raise ValueError("the scan is cut off or damaged")
+                v = (words[pos >> 3] >> 7 - (pos & 7) & 0x1FFFFFF) >> 25 - symbol
+                pos += symbol
+                row[k] = v if v >> symbol - 1 else v - (1 << symbol) + 1
+            k += 1
+            lut = ac
+        out[n] = row
+    if pos > last:
         raise ValueError("the scan is cut off")
-    bits = raw[: blocks * width].reshape(blocks, width)
-    differences = np.full(1 << dc_bits, 1 << 15, np.int32)
-    for s, (code, _) in canonical(dc).items():
-        values = np.arange(1 << s)
-        differences[(code << s) + values] = np.where(values >= (1 << s) // 2, values, values - (1 << s) + 1) if s else 0
-    heads = np.packbits(bits[:, :dc_bits], axis=1).astype(np.int32)
-    heads = heads[:, 0] << 8 | heads[:, 1] if heads.shape[1] > 1 else heads[:, 0]
-    picked = differences[heads >> (-dc_bits % 8)]
-    cells = bits[:, dc_bits:].reshape(blocks, 63, step)
-    if cells[:, :, :code_bits].any() or (picked == 1 << 15).any():
-        raise ValueError("a code that the tables do not have")
-    values = (np.packbits(cells[:, :, code_bits:], axis=2)[:, :, 0] >> (8 - size)).astype(np.int16)
-    out = np.empty((blocks, 64), np.int16)
-    out[:, 0] = np.cumsum(picked)
-    out[:, 1:] = np.where(values >= 1 << (size - 1), values, values - (1 << size) + 1)
-    return out
 
 
-class _Bits:
-    def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+def read_jpegs(images: list[bytes]) -> list[tuple[dict, np.ndarray]]:
+    """Markers and quantised luminance coefficients (rows x columns x 64) of baseline JPEGs.
 
-    def take(self, n: int) -> int:
-        if n > self.left:
-            raise ValueError("the scan is cut off")
-        self.left -= n
-        return self.value >> self.left & (1 << n) - 1
-
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (code, n) in codes:
-                return codes[code, n]
-        raise ValueError("a code that the tables do not have")
-
-    def signed(self, size: int) -> int:
-        value = self.take(size)
-        return value if not size or value >> (size - 1) else value - (1 << size) + 1
-
-
-def _decode_any(jpeg: dict) -> np.ndarray:
-    """Coefficients of the first component, symbol by symbol, for any baseline scan."""
-    parts = jpeg["components"]
-    h, v = (max(c[k] for c in parts) for k in (1, 2))
-    single = len(jpeg["scan_tables"]) == 1
-    step = (8, 8) if single else (8 * h, 8 * v)
-    wide, high = -(-jpeg["width"] // step[0]), -(-jpeg["height"] // step[1])
-    first = parts[0]
-    a, b = (1, 1) if single else first[1:3]
-    out = np.zeros((high * b, wide * a, 64), np.int16)
-    tables = {cid: tuple({(c, n): s for s, (c, n) in canonical(jpeg["dht"][k]).items()} for k in (td, 16 + ta)) for cid, (td, ta) in jpeg["scan_tables"].items()}
-    pieces, current, scan, k = [], bytearray(), jpeg["scan"], 0
-    while k < len(scan):
-        if scan[k] == 0xFF and k + 1 < len(scan) and scan[k + 1] != 0:
-            pieces.append(bytes(current))
-            current = bytearray()
+    Restart intervals of all images with the same tables are decoded together.
+    """
+    jpegs = [parse_markers(data) for data in images]
+    layouts = [_Layout(j) for j in jpegs]
+    alike: dict[tuple, list[int]] = {}
+    for i, x in enumerate(layouts):
+        alike.setdefault((x.tables, x.turns), []).append(i)
+    out: list = [None] * len(images)
+    for (tables, turns), group in alike.items():
+        pieces = [p for i in group for p in layouts[i].pieces]
+        counts = np.asarray([u * len(turns) for i in group for u in layouts[i].units], np.int64)
+        blocks = np.zeros((int(counts.sum()), 64), np.int16)
+        words, spans = _words(pieces)
+        starts = np.cumsum(counts) - counts
+        if len(pieces) >= SIDE_BY_SIDE:
+            _read_side_by_side(words, spans, counts, tables, turns, blocks)
         else:
-            current.append(scan[k])
-        k += 1 + (scan[k] == 0xFF)
-    pieces.append(bytes(current))
-    units = wide * high
-    per = jpeg["restart"] or units
-    for p, piece in enumerate(pieces[: -(-units // per)]):
-        bits, last = _Bits(piece), dict.fromkeys(tables, 0)
-        for unit in range(p * per, min(units, (p + 1) * per)):
-            for cid, ch, cv, _ in parts:
-                if cid not in tables:
-                    continue
-                dc, ac = tables[cid]
-                for y in range(1 if single else cv):
-                    for x in range(1 if single else ch):
-                        block = np.zeros(64, np.int16)
-                        last[cid] += bits.signed(bits.symbol(dc))
-                        block[0], at = last[cid], 1
-                        while at < 64:
-                            s = bits.symbol(ac)
-                            if s == 0:
-                                break
-                            at += s >> 4
-                            if s & 15:
-                                block[at] = bits.signed(s & 15)
-                            at += 1
-                        if cid == first[0]:
-                            out[unit // wide * b + y, unit % wide * a + x] = block
+            listed = words.tolist()
+            for (a, b), n, at in zip(spans.tolist(), counts.tolist(), starts.tolist()):
+                _read_one(listed, a, b, n, tables, turns, blocks[at : at + n])
+        _add_differences(blocks, starts, counts, turns)
+        at = 0
+        for i in group:
+            n = sum(layouts[i].units) * len(turns)
+            out[i] = jpegs[i], layouts[i].luminance(blocks[at : at + n])
+            at += n
     return out
 
 
+def _add_differences(blocks: np.ndarray, starts: np.ndarray, counts: np.ndarray, turns: tuple[int, ...]) -> None:
+    """DC coefficients from their differences, per component and from 0 in each interval."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    component = np.asarray(turns)[(np.arange(len(blocks)) - starts[of]) % len(turns)]
+    for c in set(turns):
+        mine = np.flatnonzero(component == c)
+        sums = np.cumsum(blocks[mine, 0].astype(np.int64))
+        first = np.flatnonzero(np.diff(of[mine], prepend=-1))
+        before = np.concatenate([[0], sums])[first]
+        blocks[mine, 0] = sums - np.repeat(before, np.diff(np.append(first, len(mine))))
+
+
 def luminance_coefficients(data: bytes) -> tuple[dict, np.ndarray]:
-    """Markers, and the quantised luminance coefficients as rows x columns x 64."""
-    jpeg = parse_markers(data)
-    td, ta = jpeg["scan_tables"][jpeg["components"][0][0]]
-    dc, ac = jpeg["dht"][td], jpeg["dht"][16 + ta]
-    if len(jpeg["components"]) == 1 and not jpeg["restart"] and _even(dc, ac):
-        wide, high = -(-jpeg["width"] // 8), -(-jpeg["height"] // 8)
-        return jpeg, _decode_even(jpeg["scan"], wide * high, dc, ac).reshape(high, wide, 64)
-    return jpeg, _decode_any(jpeg)
+    return read_jpegs([data])[0]
 
 
 def decode_payload(jpeg: dict, coefficients: np.ndarray) -> bytes:
-    """The bytes that ``encode_jpeg`` stored."""
+    """The bytes that ``encode_jpegs`` stored."""
+    of = np.zeros(257, np.uint8)
+    of[byte_coefficients().astype(np.int64) + 128] = np.arange(256)
     flat = coefficients.reshape(-1, 64)
-    out = np.where(flat < 0, flat + 255, flat).astype(np.uint8)
+    out = of[np.clip(flat, -128, 128) + 128]
     out[:, 0] = flat[:, 0] + 128
     return out.tobytes()[: int(jpeg["comment"].removeprefix(b"payload="))]
 
@@ -257,31 +361,30 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * (TILE - len(raw) if len(raw) < TILE else -len(raw) % TILE)
 
 
-def _batches(schema: pa.Schema, rows: Iterator[tuple[int, tuple]]) -> Iterator[pa.RecordBatch]:
-    """Batches of about BATCH_BYTES; each row comes with its size."""
-    held, weight = [], 0
-    for size, row in rows:
-        held.append(row)
-        weight += size
-        if weight > BATCH_BYTES or len(held) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held, weight = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, media``: each whole text as a JPEG.  Null texts are empty ones; rows keep their multiplicity."""
+    """``doc_id, n_bytes, media``: each whole text as a JPEG.  Null texts are empty ones; rows keep their multiplicity.
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    n, payload = padded(text)
-                    media = encode_jpeg(payload)
-                    yield len(media), (doc, n, media)
+    Texts are handled in batches of some 4 MB; a longer one is a batch of its
+    own and takes some forty bytes of memory for each of its own.
+    """
 
-        yield from _batches(pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())]), rows())
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+
+        def made(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(encode_jpegs([h[2] for h in held]), pa.binary())], schema=schema)
+
+        held, weight = [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                n, payload = padded(text.as_py())
+                if held and weight + len(payload) > BATCH_BYTES // 4:
+                    yield made(held)
+                    held, weight = [], 0
+                held.append((doc.as_py(), n, payload))
+                weight += len(payload)
+        if held:
+            yield made(held)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
@@ -300,14 +403,24 @@ def media_features(media: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k]) for n, k in (c.split(" ") for c in FEATURES.split(", "))])
 
-        def rows():
-            for batch in batches:
-                for doc, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                    jpeg, coefficients = luminance_coefficients(data)
-                    payload = decode_payload(jpeg, coefficients)
-                    small = thumbnail_hash(thumbnail(jpeg, coefficients))
-                    yield 500, (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{jpeg['width']}x{jpeg['height']}:{small}", jpeg["width"], jpeg["height"], small)
-
-        yield from _batches(schema, rows())
+        def told(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            rows = []
+            for (doc, n, data), (jpeg, coefficients) in zip(held, read_jpegs([h[2] for h in held])):
+                payload = decode_payload(jpeg, coefficients)
+                small = thumbnail_hash(thumbnail(jpeg, coefficients))
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{jpeg['width']}x{jpeg['height']}:{small}", jpeg["width"], jpeg["height"], small))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        held, weight = [], 0
+        for batch in batches:
+            for doc, n, data in zip(*batch.columns):
+                data = data.as_py()
+                if held and weight + len(data) > BATCH_BYTES:
+                    yield told(held)
+                    held, weight = [], 0
+                held.append((doc.as_py(), n.as_py(), data))
+                weight += len(data)
+        if held:
+            yield told(held)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, FEATURES)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cdc import repeated_passages
-from .common import remainder, table
+from .common import remainder, stage, table
 from .decontam import contaminated
 from .jaccard import jaccard_components
 from .langid import learn_languages, predict_languages
@@ -44,7 +44,7 @@ def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(store_texts(table(spark, sf_dir, "documents")))
+    return media_features(stage(store_texts(table(spark, sf_dir, "documents")), "media"))
 
 
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

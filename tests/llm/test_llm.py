@@ -58,13 +58,12 @@ def reference_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_tokenizer():
     enc, want = tokens.ChunkEncoder(queries.vocabulary(), keep=50), reference_tokenizer()
-    for text in [t for _, t in EDGE if t != LONG] + ["Çà, L'été. A.B,C d..", "ΣΑΣ İstanbul ﬁ ªº µ", "a\tb c d", "Å K ẞ ŸÿÀ."]:
+    for text in [t for _, t in EDGE if t != LONG] + ["Çà, L'été. A.B,C d..", "ΣΑΣ İstanbul ﬁ ªº µ", "hello <|endoftext|> x", "a<|startoftext|>b<|endoftext|><|endoftext|>.", "<|ENDOFTEXT|> <|endoftext|", "word.<|endoftext|>\n<|startoftext|>word,", "a\tb c d", "Å K ẞ ŸÿÀ."]:
         assert enc.encode(text) == np.asarray(want(text), "<u4").tobytes(), text
 
 
@@ -182,19 +181,116 @@ def test_jpeg_round_trip(spark, edge, none):
     assert media.media_features(media.store_texts(none)).count() == 0
 
 
-def test_jpeg_decoders_agree():
+def plain_decoder(data):
+    """A bit-by-bit decoder of one-component scans, after the standard's figures, without tables or arrays."""
+    jpeg = media.parse_markers(data)
+    codes = [{format(c, f"0{n}b"): s for s, (c, n) in media.canonical(jpeg["dht"][k]).items()} for k in (0, 16)]
+    pieces, current, k, scan = [], [], 0, jpeg["scan"]
+    while k < len(scan):
+        if scan[k] == 0xFF and scan[k + 1] != 0:
+            pieces.append(current)
+            current = []
+        else:
+            current.append(format(scan[k], "08b"))
+        k += 2 if scan[k] == 0xFF else 1
+    pieces.append(current)
+    blocks, total = [], -(-jpeg["width"] // 8) * -(-jpeg["height"] // 8)
+    for piece in pieces:
+        bits, at, last = "".join(piece), 0, 0
+
+        def symbol(table):
+            nonlocal at
+            n = next(n for n in range(1, 17) if bits[at : at + n] in table)
+            at += n
+            return table[bits[at - n : at]]
+
+        def value(size):
+            nonlocal at
+            at += size
+            raw = bits[at - size : at]
+            return 0 if not size else int(raw, 2) if raw[0] == "1" else int(raw, 2) - 2**size + 1
+
+        for _ in range(min(jpeg["restart"] or total, total - len(blocks))):
+            block = [0] * 64
+            last += value(symbol(codes[0]))
+            block[0], z = last, 1
+            while z < 64:
+                s = symbol(codes[1])
+                if s == 0:
+                    break
+                z += s >> 4
+                if s & 15:
+                    block[z] = value(s & 15)
+                z += 1
+            blocks.append(block)
+    return np.asarray(blocks)
+
+
+def test_jpeg_decoders_agree(monkeypatch):
     r = random.Random(1)
-    for payload in (r.randbytes(576), b"\xff" * 1152, bytes(576), r.randbytes(5 * 576)):
-        jpeg, fast = media.luminance_coefficients(media.encode_jpeg(payload))
-        assert (media._decode_any(jpeg) == fast).all()
-        assert media.decode_payload(jpeg, fast) == payload
-        flat = np.frombuffer(payload, np.uint8).reshape(-1, 64)
-        assert (media.thumbnail(jpeg, fast).ravel() == flat[:, 0]).all()
+    payloads = [r.randbytes(576), b"\xff" * 1152, bytes(576), r.randbytes(5 * 576), "plain prose, and ünïcode ".encode() * 576]
+    payloads += [bytes(r.choice(b" etaoin\xff\x00") for _ in range(576 * r.randint(1, 4))) for _ in range(30)]
+    images = media.encode_jpegs(payloads)
+    assert images == [media.encode_jpeg(p) for p in payloads]
+    for apart in (False, True):
+        monkeypatch.setattr(media, "SIDE_BY_SIDE", 10**9 if apart else 1)
+        for payload, data, (jpeg, got) in zip(payloads, images, media.read_jpegs(images)):
+            assert (got.reshape(-1, 64) == plain_decoder(data)).all()
+            assert media.decode_payload(jpeg, got) == payload
+            assert (media.thumbnail(jpeg, got).ravel()[: len(payload) // 64] == np.frombuffer(payload, np.uint8)[::64]).all()
+            small = media.thumbnail(jpeg, got)
+            cells = [[small[i * small.shape[0] // 8 : max((i + 1) * small.shape[0] // 8, i * small.shape[0] // 8 + 1), j * small.shape[1] // 8 : max((j + 1) * small.shape[1] // 8, j * small.shape[1] // 8 + 1)].mean() for j in range(8)] for i in range(8)]
+            mean = sum(map(sum, cells)) / 64
+            plain = "".join("1" if c > mean else "0" for row in cells for c in row)
+            assert media.thumbnail_hash(small) == f"{int(plain, 2):016x}"
+        for bad in (images[3][:-200] + b"\xff\xd9", images[0].replace(b"payload=576", b"payload=999", 1)[:-40] + b"\xff\xd9"):
+            with pytest.raises(ValueError):
+                media.read_jpegs([bad])
     wide = r.randbytes(576 * (media.TALLEST + 3))
     jpeg, fast = media.luminance_coefficients(media.encode_jpeg(wide))
     assert jpeg["width"] == 48 and media.decode_payload(jpeg, fast) == wide
 
 
+def test_jpeg_decoding_is_linear():
+    """One scan without restart markers, read symbol by symbol, takes time in proportion to its length."""
+    import time
+
+    def image(blocks):
+        one = media.encode_jpegs([bytes(64) * 9])[0]
+        jpeg = media.parse_markers(one)
+        codes = media.canonical(jpeg["dht"][16])
+        dc = media.canonical(jpeg["dht"][0])[0]
+        block = format(dc[0], f"0{dc[1]}b") + "".join(format(codes[3][0], f"0{codes[3][1]}b") + "101" for _ in range(63))
+        bits = block * blocks
+        bits += "1" * (-len(bits) % 8)
+        scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+        head = one[: one.index(b"\xff\xdd")].replace(media._segment(0xC0, b"\x08\x00\x18\x00\x18\x01\x01\x11\x00"), media._segment(0xC0, b"\x08" + (blocks * 8).to_bytes(2, "big") + b"\x00\x08\x01\x01\x11\x00"))
+        return head + media._segment(0xDA, b"\x01\x01\x00\x00\x3f\x00") + scan + b"\xff\xd9"
+
+    took = {}
+    for n in (900, 2700):
+        data = image(n)
+        began = time.process_time()
+        _, got = media.luminance_coefficients(data)
+        took[n] = time.process_time() - began
+        assert got.shape == (n, 1, 64) and (got[:, 0, 1:] == 5).all() and not got[:, 0, 0].any()
+    assert took[2700] < 6 * took[900] + 0.1 and took[2700] < 2
+
+
+def test_jpeg_with_colour():
+    """Three components, the first sampled twice each way: blocks of a unit come in turn, each with its component's prediction."""
+    dc, ac = {0: 2, 2: 2, 3: 2}, {0x00: 1, 0x01: 2}
+    code = lambda t, s: format(*(lambda c: (c[0], f"0{c[1]}b"))(media.canonical(t)[s]))
+    block = lambda d: code(dc, 2) + format(d if d > 0 else d + 3, "02b") + code(ac, 0)
+    units = [[2, 3, -2, 2, -3, 3], [-2, 2, 2, 2, 2, 2]]
+    bits = "".join(block(d) for u in units for d in u)
+    scan = int(bits + "1" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big").replace(b"\xff", b"\xff\x00")
+    frame = media._segment(0xDB, b"\x00" + b"\x02" * 64) + media._segment(0xC0, b"\x08\x00\x10\x00\x20\x03\x01\x22\x00\x02\x11\x00\x03\x11\x00") + media._dht(0, dc) + media._dht(16, ac)
+    data = b"\xff\xd8" + frame + media._segment(0xDA, b"\x03\x01\x00\x02\x00\x03\x00\x00\x3f\x00") + scan + b"\xff\xd9"
+    _, got = media.luminance_coefficients(data)
+    assert got[:, :, 0].tolist() == [[2, 5, 3, 5], [3, 5, 7, 9]]
+
+
 def test_jpeg_with_zero_runs_and_restarts():
     """A two-block scan with run lengths, an end of block and a restart marker, built bit by bit."""
     dc, ac = {2: 2, 3: 3}, {0x00: 2, 0x21: 2, 0xF0: 3}
@@ -234,6 +330,23 @@ def test_shards_are_even_and_copies_stay(spark):
     assert by_target.agg(F.count_distinct("shard")).first()[0] == -(-sum(sums.values()) // 200_000)
 
 
+def test_long_metadata_values_are_told_apart(spark):
+    """Sources that differ only late are cut apart along their order; a node table of thousands plans in seconds."""
+    import time
+
+    rows = [(i, f"{"t" * 60}{i:03d}", "x", f"https://example.org/{i % 4}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.kd_shards(df, shards=4).collect()
+    homes = {}
+    for r in got:
+        homes.setdefault(r["shard"], Counter())[r["doc_id"] % 4] += 1
+    assert all(max(c.values()) > 0.9 * sum(c.values()) for c in homes.values()) and len(homes) == 4
+    began = time.monotonic()
+    nodes = spark.range(5000).select(F.col("id").alias("node"))
+    total = nodes.select(sharding._of(F.col("node"), list(range(5000))).alias("x")).agg(F.sum("x")).first()[0]
+    assert total == sum(range(5000)) and time.monotonic() - began < 10
+
+
 def test_language_mixture(spark, edge, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op6_language_mixture(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
