@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 
 class ChunkEncoder:
     """Encodes texts piecewise: what lies between blanks is encoded once and kept.
 
-    The tokenizer's pre-tokenizer never joins text across white space, so the
-    ids of a text are those of its blank-separated chunks, one after the other.
+    The tokenizer's pre-tokenizer never joins text across white space, and the
+    strings of its added tokens hold none, so the ids of a text are those of its
+    blank-separated chunks, one after the other.
     A plain word (letters up to U+00FF, one full stop or comma after it at most)
     is one pre-token, so its lower-case letters go to the model straight away.
     """
@@ -26,7 +29,8 @@ class ChunkEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if any(c.isspace() for t in self.tokenizer.get_added_tokens_decoder().values() for c in t.content):
+            raise ValueError("added tokens with white space need whole texts")
         self.marked = any(t.endswith("</w>") for t in self.tokenizer.get_vocab())
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
@@ -110,12 +114,8 @@ def token_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text", bl
     table gives no rows.  The suffix sums run inside blocks of ``block`` lengths
     and over the blocks, so no task gets all lengths.
     """
-    hist = (
-        token_lengths(docs, vocabulary, text_col)
-        .groupBy("length").agg(F.sum("documents").alias("documents"))
-        .withColumn("tokens", F.col("length") * F.col("documents"))
-        .withColumn("block", F.floor(F.col("length") / block))
-    )
+    counted = stage(token_lengths(docs, vocabulary, text_col).groupBy("length").agg(F.sum("documents").alias("documents")), "lengths")  # read twice
+    hist = counted.withColumn("tokens", F.col("length") * F.col("documents")).withColumn("block", F.floor(F.col("length") / block))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = (
