@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from ..sources.staging import dense_ranks
+from .common import broadcast_if_few, stage
 
 #: Bits of a coordinate's value and of the tie-breaking hash in a cut key.
 TIE_BITS = 20
@@ -25,22 +27,28 @@ def _units(docs: DataFrame, id_col: str, text_col: str, meta: list[str], unit_by
     size = F.octet_length(text).cast("long") + 8
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp"), *(F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(meta)))
     groups = rows.groupBy("grp").agg(F.sum("size").alias("weight"), F.max("size").alias("size"), *(F.min(f"m{i}").alias(f"m{i}") for i in range(len(meta))))
-    heavy = groups.where(F.col("weight") > unit_bytes).select("grp", F.ceil(F.col("weight") / unit_bytes).alias("parts"))
-    rows = rows.drop(*(f"m{i}" for i in range(len(meta)))).join(heavy, "grp", "left")
+    heavy = groups.where(F.col("weight") > unit_bytes).select("grp", F.ceil(F.col("weight") / unit_bytes).alias("parts"))  # at most total / unit_bytes rows
+    rows = rows.drop(*(f"m{i}" for i in range(len(meta)))).join(F.broadcast(heavy), "grp", "left")
     rows = rows.withColumn("unit", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.col("doc_id")), F.col("parts"))).otherwise(F.lit(0)).cast("long")).drop("parts")
     rows = stage(rows, "shard-rows")  # so that the sums below start from unsorted rows and combine within tasks
     units = rows.groupBy("grp", "unit").agg(F.sum("size").alias("weight")).join(groups.drop("weight"), "grp")
     return rows, units
 
 
-def _coded(column: str) -> Column:
-    """A number for a text value, from its first six bytes, so that order is kept."""
-    return F.conv(F.substring(F.concat(F.hex(F.coalesce(F.col(column), F.lit("")).cast("binary")), F.lit("0" * 12)), 1, 12), 16, 10).cast("double")
+def _of(node: Column, values: list, kind: str = "bigint") -> Column:
+    """The node's entry in a list with one value for each node of the level.
+
+    The list is one literal, so a plan does not grow with the number of nodes.
+    """
+    return F.element_at(F.from_json(F.lit(json.dumps(values)), F.lit(f"array<{kind}>")), (node + 1).cast("int"))
 
 
-def _of(node: Column, values: list) -> Column:
-    """The node's entry in a list with one value for each node of the level."""
-    return F.element_at(F.array(*map(F.lit, values)), node + 1)
+def _with_codes(units: DataFrame, columns: list[str]) -> DataFrame:
+    """``units`` with each metadata column replaced by the rank of its value among the distinct ones; null is the empty text."""
+    for column in columns:
+        ranks = dense_ranks(units.select(F.coalesce(F.col(column), F.lit("")).alias("value")))
+        units = units.withColumn("value", F.coalesce(F.col(column), F.lit(""))).join(broadcast_if_few(ranks, 100_000), "value").drop("value", column).withColumn(column, F.col("rank").cast("double")).drop("rank")
+    return units
 
 
 def kd_shards(
@@ -50,7 +58,7 @@ def kd_shards(
     """``doc_id, size, text_crc32, shard, slot``: shards of near-equal bytes.
 
     Each tree node is split at the weighted median (weight: bytes) along its
-    widest dimension, until leaves reach the target, ``target_bytes`` or an
+    widest dimension (a metadata value counts by its rank among the distinct ones), until leaves reach the target, ``target_bytes`` or an
     equal part of the total; a node that stands for an odd number of leaves is
     split in that proportion.  The dimensions are the logarithm of the size and
     the metadata columns, each scaled to the whole table's range.  Equal texts
@@ -73,10 +81,11 @@ def kd_shards(
     leaves = shards or max(1, math.ceil(total / (target_bytes or max(total, 1))))
     leaf = max(1.0, total / leaves)
     rows, units = _units(docs, id_col, text_col, list(metadata), max(tolerance * leaf, (longest or 0) + 8))
-    dims = [F.log2(F.col("size")), *(_coded(f"m{i}") for i in range(len(metadata)))]
+    dims = [F.log2(F.col("size")), *(F.col(f"m{i}") for i in range(len(metadata)))]
     names = [f"d{i}" for i in range(len(dims))]
     tie = F.shiftrightunsigned(F.xxhash64("grp", "unit"), 64 - TIE_BITS)
-    units = units.select("grp", "unit", "weight", tie.alias("tie"), *(d.alias(n) for d, n in zip(dims, names)))
+    units = _with_codes(units, [f"m{i}" for i in range(len(metadata))]) if count else units
+    units = units.select("grp", "unit", "weight", tie.alias("tie"), *(d.cast("double").alias(n) for d, n in zip(dims, names)))
     ranges = lambda df: df.agg(F.sum("weight").alias("w"), *(F.struct(F.min(n).alias("lo"), F.max(n).alias("hi")).alias(n) for n in names))
     if count:
         units = stage(units, "shard-units")
@@ -86,8 +95,8 @@ def kd_shards(
     nodes = [(0, leaves)]  # of each node, its first shard and its number of shards
     at = F.col("node")
     while count and max(n for _, n in nodes) > 1:
-        split = [i for i, (_, n) in enumerate(nodes) if n > 1]
-        here = live.where(at.isin(split))
+        splits = _of(at, [int(n > 1) for _, n in nodes]) == 1
+        here = live.where(splits)
         stats = {r["node"]: r for r in ranges(here.groupBy("node")).collect()}
         stats = {i: r for i, r in stats.items() if nodes[i][1] > 1}
         per_node = lambda d, default: [d.get(i, default) for i in range(len(nodes))]
@@ -106,7 +115,7 @@ def kd_shards(
             inside = live.where((F.col("key") >= low) & (F.col("key") < end))
             hist = inside.groupBy("node", F.floor((F.col("key") - low) / _of(at, per_node(cell, 1))).alias("cell")).agg(F.sum("weight").alias("w"))
             run = hist.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("cell")))
-            need = _of(at, [float(goal[i] - search[i][2]) if i in search else 0.0 for i in range(len(nodes))])
+            need = _of(at, [float(goal[i] - search[i][2]) if i in search else 0.0 for i in range(len(nodes))], "double")
             found = {r["node"]: r["h"] for r in run.where(F.col("upto") >= need).groupBy("node").agg(F.min(F.struct("cell", "w", "upto")).alias("h")).collect()}
             for i in list(search):
                 first, width, before = search.pop(i)
@@ -123,7 +132,7 @@ def kd_shards(
         for i, (first, n) in enumerate(nodes):
             moved.append(len(grown))
             grown += [(first, n // 2), (first + n // 2, n - n // 2)] if n > 1 else [(first, n)]
-        right = F.when(at.isin(split), (F.col("key") >= _of(at, per_node(cuts, 0))).cast("int")).otherwise(0)
+        right = F.when(splits, (F.col("key") >= _of(at, per_node(cuts, 0))).cast("int")).otherwise(0)
         live = stage(live.withColumn("node", _of(at, moved) + right).drop("key"), "shard-tree")
         nodes = grown
     leaf_of = live.select("grp", "unit", _of(at, [first for first, _ in nodes]).cast("int").alias("shard"))
