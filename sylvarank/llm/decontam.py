@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,11 @@ class _Ids(dict):
         got = self[word] = self.ids.get(bare, 0) if bare else -1
         return got
 
+    def words(self, text: str) -> np.ndarray:
+        parts = text.split()
+        out = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        return out[out >= 0] if (out < 0).any() else out
+
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Best local alignment: its score, and the end in ``text``.
@@ -98,9 +104,7 @@ def _texts(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[tuple[in
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                parts = text.split()
-                words = np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))
-                yield doc, words[words >= 0] if (words < 0).any() else words
+                yield doc, ids.words(text)
 
 
 def gram_counts(docs: DataFrame, items: Items) -> dict[int, int]:
@@ -192,6 +196,16 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words_per_block:
         yield block
 
 
+def _seeded(rows: DataFrame, benchmark: DataFrame, n: int, words_per_block: int, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
+    """The items of each block with their seeds, sent to the tasks."""
+    for block in _blocks(benchmark, item_col, item_text_col, words_per_block):
+        items = Items(block, n)
+        keep = rare_seeds(items, gram_counts(rows, items))
+        order = np.lexsort((items.at[keep], items.of[keep], items.gram[keep]))
+        gram, of, at = items.gram[keep][order], items.of[keep][order], items.at[keep][order]
+        yield rows.sparkSession.sparkContext.broadcast((items, (gram, of, at, np.unique(gram, return_index=True)[1])))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.4, words_per_block: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item it holds a copy of, edited ones included: ``HITS``.
 
@@ -210,12 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spark, out = docs.sparkSession, None
-    for block in _blocks(benchmark, item_col, item_text_col, words_per_block):
-        items = Items(block, n)
-        keep = rare_seeds(items, gram_counts(rows, items))
-        order = np.lexsort((items.at[keep], items.of[keep], items.gram[keep]))
-        gram, of, at = items.gram[keep][order], items.of[keep][order], items.at[keep][order]
-        sent = spark.sparkContext.broadcast((items, (gram, of, at, np.unique(gram, return_index=True)[1])))
+    for sent in _seeded(rows, benchmark, n, words_per_block, item_col, item_text_col):
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items, seeds = sent.value
@@ -229,7 +238,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     return out if out is not None else spark.createDataFrame([], HITS)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; rows without an id stay."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.4, words_per_block: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item, found as by ``contaminated``.
+
+    Rows are aligned and kept or dropped in one pass per block of items, so
+    texts are not shuffled.  Each row is judged by its own text; rows without an
+    id or a text stay.
+    """
+    place, ids = docs.columns.index(text_col), docs.columns.index(id_col)
+    rows, out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null"), docs
+    for sent in _seeded(rows, benchmark, n, words_per_block, item_col, item_text_col):
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items, seeds = sent.value
+            known = _Ids(items.vocabulary)
+            for batch in batches:
+                clean = [doc is None or not text or not find_alignments(known.words(text), items, seeds, least) for doc, text in zip(batch.column(ids).to_pylist(), batch.column(place).to_pylist())]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
