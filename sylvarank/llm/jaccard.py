@@ -48,7 +48,7 @@ BITS, BYTES = 48, 6
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -214,9 +214,9 @@ def _facts(rows: DataFrame, pivots: Pivots, percent: int) -> DataFrame:
                             cell, cell_d, links = int(mine[first]), float(own_d[first]), np.delete(mine, first).tolist()
                     out.append((doc, len(s), hi, lo, raw, cell, cell_d, links, near.tolist(), distance.tolist(), None, None))
                     size += len(raw)
-                    if held > 4_000_000:
+                    if held > 1_000_000:
                         merge()
-                if len(out) >= 10_000 or size > 8_000_000:
+                if len(out) >= 10_000 or size > 4_000_000:
                     yield flush()
         if out:
             yield flush()
@@ -310,7 +310,7 @@ def _prefixes(carriers: DataFrame, heavy: np.ndarray, percent: int, parts: int)
                 ids.append(doc.as_py())
                 sizes.append(len(s))
                 held += p
-                if held > 1_000_000:
+                if held > 400_000:
                     yield flush()
                     keys, ids, sizes, rares, held = [], [], [], [], 0
         if keys:
