@@ -11,38 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvarank.llm.cdc import drop_repeats
-from sylvarank.llm.common import new_folder, remainder, table
+from sylvarank.llm.common import new_folder, remainder, table, without_ids
 from sylvarank.llm.decontam import drop_contaminated
 from sylvarank.llm.jaccard import jaccard_components
 from sylvarank.llm.packing import pack
 from sylvarank.llm.queries import vocabulary
-from sylvarank.llm.toxicity import learn_toxicity, score_toxicity
+from sylvarank.llm.toxicity import drop_toxic, learn_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the network learns from the labelled rows of the fit folds.
+    """Rows that score below 0.5; the network learns from the labelled rows of the fit folds.
 
-    Documents without an id stay, as no decision can name them.
+    Each row is judged by its own text, so of rows that share an id only the toxic ones go.
     """
-    net = learn_toxicity(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    toxic = score_toxicity(docs, net).where("score >= 0.5").groupBy("doc_id").agg(F.max("score").alias("score"))
-    return docs.join(toxic.select(F.col("doc_id").alias("_toxic")), F.col("doc_id") == F.col("_toxic"), "left_anti")
+    return drop_toxic(docs, learn_toxicity(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; rows without an id stay."""
-    others = jaccard_components(docs, percent=75).where("component_id < doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    """The document with the smallest id of each group of near duplicates.
+
+    Rows without an id stay; rows that share an id are one document and stay or go together.
+    """
+    return without_ids(docs, jaccard_components(docs, percent=75).where("component_id < doc_id").select("doc_id"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut; ``n_chars`` follows the text."""
+    """Passages that an earlier document has are cut, row by row; ``n_chars`` follows the text."""
     cut = drop_repeats(docs)
     return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, edited copies included."""
+    """Rows whose text holds no benchmark item, edited copies included; rows without an id stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
