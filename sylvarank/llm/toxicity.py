@@ -296,7 +296,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, training, per_label: int
 class Scorer:
     """Scores batches of texts; a task keeps the projected inputs of the words it has met."""
 
-    def __init__(self, net: Network, keep: int = 300_000, block: int = 4096):
+    def __init__(self, net: Network, keep: int = 150_000, block: int = 2048):
         self.net, self.keep, self.block = net, keep, block
         self.known: dict[str, int] = {}
         self.tables = {d: np.zeros((4096, 3 * HIDDEN), np.float32) for d in "fb"}
@@ -336,7 +336,7 @@ class Scorer:
         for k in range(batch.num_rows):
             texts.append(split_words(column[k].as_py()))
             held += len(texts[-1]) + 8
-            if held > 4 * self.block * STRIDE or k == batch.num_rows - 1:
+            if held > 2 * self.block * STRIDE or k == batch.num_rows - 1:
                 yield start, k + 1, *self.scores(texts)
                 start, texts, held = k + 1, [], 0
 
