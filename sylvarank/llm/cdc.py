@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, fresh_name, stage
+from .common import broadcast_if_few, fresh_name, stage, tidy
 
 #: Bytes that the cut decision sees: the gear hash shifts older ones out of the bits that are tested.
 WINDOW = 16
@@ -122,7 +122,7 @@ def chunk_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield emit(ids, keys, texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    return rows.mapInArrow(chunk, "doc_id long, text_key long, start int, length int, words int, hi long, lo long")
+    return rows.mapInArrow(tidy(chunk), "doc_id long, text_key long, start int, length int, words int, hi long, lo long")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,4 +190,4 @@ def drop_repeats(docs: DataFrame, least_words: int = 15, id_col: str = "doc_id",
 
     here = (docs[id_col].cast("long") == spans["doc_id"]) & (F.xxhash64(docs[text_col]) == spans["text_key"])
     joined = docs.join(broadcast_if_few(spans, most), here, "left").select(*(docs[c] for c in docs.columns), spans[spans.columns[-1]])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)

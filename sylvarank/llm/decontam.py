@@ -10,6 +10,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MATCH, MISMATCH, GAP = 2, -1, -1
 HITS = "doc_id long, item_id long, score long, similarity double, first_word long, last_word long"
 
@@ -123,7 +125,7 @@ def gram_counts(docs: DataFrame, items: Items) -> dict[int, int]:
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"gram": pa.array(own.all[there]), "n": pa.array(seen[there])})
 
-    got = docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    got = docs.mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"]: r["n"] for r in got.collect()}
 
 
@@ -233,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[h.split(" ")[1]]) for c, h in zip(zip(*found), HITS.split(", "))], [h.split(" ")[0] for h in HITS.split(", ")])
 
-        part = rows.mapInArrow(score, HITS)
+        part = rows.mapInArrow(tidy(score), HITS)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], HITS)
 
@@ -256,5 +258,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least:
                 clean = [doc is None or not text or not find_alignments(known.words(text), items, seeds, least) for doc, text in zip(batch.column(ids).to_pylist(), batch.column(place).to_pylist())]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.mapInArrow(tidy(keep), docs.schema)
     return out

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, stage, unstage
+from .common import broadcast_if_few, stage, tidy, unstage
 
 WIDTH = 5
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -226,7 +226,7 @@ def _facts(rows: DataFrame, pivots: Pivots, percent: int) -> DataFrame:
             none = [pa.nulls(len(top), f.type) for f in list(schema)[:-2]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(often_h[top].view(np.int64)), pa.array(often_n[top])], schema=schema)
 
-    return rows.mapInArrow(emit, FACTS)
+    return rows.mapInArrow(tidy(emit), FACTS)
 
 
 def _pivot_roots(facts: DataFrame, pivots: Pivots, percent: int) -> tuple[list[int], list[float]]:
@@ -316,7 +316,7 @@ def _prefixes(carriers: DataFrame, heavy: np.ndarray, percent: int, parts: int)
         if keys:
             yield flush()
 
-    return carriers.select("doc_id", "shingles").mapInArrow(emit, PARTS)
+    return carriers.select("doc_id", "shingles").mapInArrow(tidy(emit), PARTS)
 
 
 def _shared(prefixes: DataFrame, percent: int, near: int = 8) -> DataFrame:
@@ -406,7 +406,7 @@ def _measured(pairs: DataFrame, carriers: DataFrame, percent: int, most: int = 3
             i, t = np.asarray(common, np.int64), np.asarray(total, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 - i / np.maximum(t - i, 1)), pa.array(linked(i, t, percent))], ["x", "p", "distance", "linked"])
 
-    return stage(both.select("x", "p", "sx", "sp").mapInArrow(compare, "x long, p long, distance double, linked boolean"), "distances")
+    return stage(both.select("x", "p", "sx", "sp").mapInArrow(tidy(compare), "x long, p long, distance double, linked boolean"), "distances")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 262_144, pivots: int = 1024, rows_per_part: int = 500_000) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sampled_texts
+from .common import labelled_sample, sampled_texts, tidy
 
 ORDERS = (1, 2, 3, 4)
 EDGE = 0x110000
@@ -213,4 +213,4 @@ def predict_languages(docs: DataFrame, model: Languages, id_col: str = "doc_id",
         if ids:
             yield emit(ids, texts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, "doc_id long, lang_pred string, score double, languages int, mixture array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(predict), "doc_id long, lang_pred string, score double, languages int, mixture array<double>")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: A tile of 24 x 24 samples is nine blocks of 64 coefficients, and a restart interval.
 TILE, TILE_BLOCKS = 576, 9
 TALLEST = 65_535 // 24
@@ -386,7 +388,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if held:
             yield made(held)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(write, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(write), "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumbnail_hash string"
@@ -423,4 +425,4 @@ def media_features(media: DataFrame) -> DataFrame:
         if held:
             yield told(held)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(read), FEATURES)

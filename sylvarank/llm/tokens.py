@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, tidy
 
 
 class ChunkEncoder:
@@ -98,7 +98,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
                 seen[n] = seen.get(n, 0) + 1
         yield pa.RecordBatch.from_pydict({"length": pa.array(list(seen), pa.int64()), "documents": pa.array(list(seen.values()), pa.int64())})
 
-    return docs.select(text_col).mapInArrow(count, "length long, documents long")
+    return docs.select(text_col).mapInArrow(tidy(count), "length long, documents long")
 
 
 def token_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text", block: int = 1024) -> DataFrame:

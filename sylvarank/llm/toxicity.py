@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sampled_texts
+from .common import labelled_sample, sampled_texts, tidy
 
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD, CHAR = 8, 8, 8
@@ -355,7 +355,7 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
             for a, b, value, n in scorer.runs(batch, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(value), pa.array(n)], ["doc_id", "score", "windows"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double, windows long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(score), "doc_id long, score double, windows long")
 
 
 def drop_toxic(docs: DataFrame, net: Network, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -374,4 +374,4 @@ def drop_toxic(docs: DataFrame, net: Network, least: float = 0.5, text_col: str
             for a, b, value, _ in scorer.runs(batch, place):
                 yield batch.slice(a, b - a).filter(pa.array(value < least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, stage
+from .common import new_folder, stage, tidy
 
 MAGIC = b"\x1f\x8b\x08"
 #: Fixed values of the format.
@@ -94,7 +94,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "bytes": pa.array([size], pa.int64()), "records": pa.array([n], pa.int64())})
 
-    return stage(rows.mapInArrow(write, "path string, bytes long, records long"), "warc-files")
+    return stage(rows.mapInArrow(tidy(write), "path string, bytes long, records long"), "warc-files")
 
 
 def _starts_record(data: bytes) -> bool:
@@ -186,7 +186,7 @@ def read_warc(files: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names)
 
-    return ranges.mapInArrow(read, RECORD)
+    return ranges.mapInArrow(tidy(read), RECORD)
 
 
 def page_records(records: DataFrame) -> DataFrame:
