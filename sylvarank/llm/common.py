@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of a batch that goes to a Python worker.  By rows alone a batch of long texts would have no bound.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 
 
 def small_batches(spark: SparkSession) -> None:

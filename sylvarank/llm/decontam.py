@@ -40,7 +40,7 @@ class _Ids(dict):
         self.ids = ids
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         bare = plain(word)
         got = self[word] = self.ids.get(bare, 0) if bare else -1

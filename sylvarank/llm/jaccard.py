@@ -48,7 +48,7 @@ BITS, BYTES = 48, 6
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -98,7 +98,7 @@ def linked(common, total, percent: int):
 class _Members:
     """A set of shingles that answers fast which elements of others are in it."""
 
-    def __init__(self, keys: np.ndarray, bits: int = 23):
+    def __init__(self, keys: np.ndarray, bits: int = 21):
         self.keys, self.shift = keys, np.uint64(BITS - bits)
         self.bitmap = np.zeros(1 << bits, bool)
         self.bitmap[keys >> self.shift] = True
@@ -147,8 +147,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def sample_pivots(rows: DataFrame, percent: int, count: int = 1024, longest: int = 16_384) -> Pivots:
-    """Of the ``count`` ids of smallest hash, the documents of at most ``longest`` bytes: 16 MB of texts at most."""
+def sample_pivots(rows: DataFrame, percent: int, count: int = 512, longest: int = 16_384) -> Pivots:
+    """Of the ``count`` ids of smallest hash, the documents of at most ``longest`` bytes: 8 MB of texts at most."""
     ids = rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(count).distinct().withColumnRenamed("doc_id", "id")
     texts = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi").where(F.octet_length("text") <= longest).limit(2 * count)
     hashes = _Hashes()
@@ -214,9 +214,9 @@ def _facts(rows: DataFrame, pivots: Pivots, percent: int) -> DataFrame:
                             cell, cell_d, links = int(mine[first]), float(own_d[first]), np.delete(mine, first).tolist()
                     out.append((doc, len(s), hi, lo, raw, cell, cell_d, links, near.tolist(), distance.tolist(), None, None))
                     size += len(raw)
-                    if held > 1_000_000:
+                    if held > 400_000:
                         merge()
-                if len(out) >= 10_000 or size > 4_000_000:
+                if len(out) >= 10_000 or size > 2_000_000:
                     yield flush()
         if out:
             yield flush()
@@ -277,7 +277,7 @@ def _prefixes(carriers: DataFrame, heavy: np.ndarray, percent: int, parts: int)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = sent.value
-        members = _Members(known, 22) if len(known) else None
+        members = _Members(known) if len(known) else None
         keys, ids, sizes, rares, held, turn = [], [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -409,7 +409,7 @@ def _measured(pairs: DataFrame, carriers: DataFrame, percent: int, most: int = 3
     return stage(both.select("x", "p", "sx", "sp").mapInArrow(tidy(compare), "x long, p long, distance double, linked boolean"), "distances")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 262_144, pivots: int = 1024, rows_per_part: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 262_144, pivots: int = 512, rows_per_part: int = 500_000) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per document, exact.
 
     Documents link when their sets' similarity is at least ``percent`` / 100;
@@ -419,7 +419,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     compared by 48-bit hashes, sets by 128 bits.
 
     ``heavy_limit`` bounds the list of frequent shingles that is sent to the
-    tasks (2 MB), ``pivots`` the sampled documents (8 MB of shingles at most).
+    tasks (2 MB), ``pivots`` the sampled documents (4 MB of shingles at most).
     Both only set what is compared when, not what is found.
     """
     rows = _rows(docs, id_col, text_col)

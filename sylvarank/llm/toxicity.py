@@ -296,7 +296,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, training, per_label: int
 class Scorer:
     """Scores batches of texts; a task keeps the projected inputs of the words it has met."""
 
-    def __init__(self, net: Network, keep: int = 150_000, block: int = 2048):
+    def __init__(self, net: Network, keep: int = 60_000, block: int = 1024):
         self.net, self.keep, self.block = net, keep, block
         self.known: dict[str, int] = {}
         self.tables = {d: np.zeros((4096, 3 * HIDDEN), np.float32) for d in "fb"}
