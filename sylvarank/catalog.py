@@ -224,7 +224,7 @@ def _components(spark, sf):
     rows = top.select("query_id", "name", F.col("score").alias("wl"), F.col("position").alias("wl_position")).join(q, "query_id").join(c, "name")
     rows = rows.join(structure.constant_jaccard(top, structure.constant_sets(nodes)), ["query_id", "name"]).join(structure.collapse_match(top, nodes), ["query_id", "name"])
     teds = 1 - F.abs(F.col("raw_size") - F.col("c_size")) / F.greatest("raw_size", "c_size")
-    return rows.select("query_id", "name", "wl", F.round(teds, 6).alias("teds"), F.round("jaccard", 6).alias("jaccard"), F.round("collapse_match", 6).alias("collapse_match"), F.round("jaccard", 6).alias("dense"), F.lit(0.0).alias("bm25"), "raw_size", "wl_position")
+    return rows.select("query_id", "name", F.round("wl", 6).alias("wl"), F.round(teds, 6).alias("teds"), F.round("jaccard", 6).alias("jaccard"), F.round("collapse_match", 6).alias("collapse_match"), F.round("jaccard", 6).alias("dense"), F.lit(0.0).alias("bm25"), "raw_size", "wl_position")
 
 
 def fused_scores(spark, sf):
@@ -414,10 +414,10 @@ f0 AS (SELECT query_id, name, t.node_id AS tn, c.node_id AS cn, c.n AS ck, (c.n
 f1 AS (SELECT query_id, name, t.node_id AS tn, c.node_id AS cn, c.n AS ck, (c.n = 0 OR (t.label = c.label AND t.n = c.n)) AS met FROM f0 JOIN arity t ON t.tree_id = query_id AND t.parent_id = tn JOIN arity c ON c.tree_id = name AND c.parent_id = cn AND c.ord = t.ord WHERE met AND ck > 0),
 f2 AS (SELECT query_id, name, t.node_id AS tn, c.node_id AS cn, c.n AS ck, (c.n = 0 OR (t.label = c.label AND t.n = c.n)) AS met FROM f1 JOIN arity t ON t.tree_id = query_id AND t.parent_id = tn JOIN arity c ON c.tree_id = name AND c.parent_id = cn AND c.ord = t.ord WHERE met AND ck > 0),
 col AS (SELECT query_id, name, count(*) FILTER (WHERE met)::DOUBLE / any_value(size) AS collapse_match FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2) JOIN stats ON tree_id = name GROUP BY ALL),
-comp AS (SELECT query_id, name, score AS wl, round(1 - abs(q.size - c.size)::DOUBLE / greatest(q.size, c.size), 6) AS teds, round(jaccard, 6) AS jaccard, round(collapse_match, 6) AS collapse_match, q.size AS raw_size
+comp AS (SELECT query_id, name, round(score, 6) AS wl, round(1 - abs(q.size - c.size)::DOUBLE / greatest(q.size, c.size), 6) AS teds, round(jaccard, 6) AS jaccard, round(collapse_match, 6) AS collapse_match, q.size AS raw_size
   FROM top JOIN jac USING (query_id, name) JOIN col USING (query_id, name) JOIN stats q ON q.tree_id = query_id JOIN stats c ON c.tree_id = name)"""
 D = lambda x: f"{x}::DOUBLE"
-STRUCT = f"round({D(0.1)}*wl + {D(0.3)}*teds + {D(0.1)}*jaccard + {D(0.5)}*collapse_match, 9)"
+STRUCT = f"round({D(0.1)}*wl + {D(0.3)}*teds + {D(0.1)}*jaccard + {D(0.5)}*collapse_match, 12)"
 RANKED = PAIRS + f",\nranked AS (SELECT query_id, name, final, rank() OVER (PARTITION BY query_id ORDER BY final DESC)::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, name)::INT AS position FROM (SELECT *, {STRUCT} AS final FROM comp))"
 LEX = """toks AS (SELECT doc_id AS name, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+') if x <> ''] AS t FROM documents),
 dl AS (SELECT name, len(t)::BIGINT AS dl FROM toks),
@@ -447,7 +447,7 @@ EVENTS = """cur AS (SELECT event_id, user_id, event_type, row_number() OVER (PAR
 leg AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS occurrence FROM events WHERE event_id % 5 <> 0)"""
 REASONS = """r AS (SELECT event_id, [x for x in [CASE WHEN props IS NULL THEN 'no_props' END, CASE WHEN (json_extract_string(props, '$.k'))::INT < 10 THEN 'small_k' END, CASE WHEN value < 5 THEN 'low_value' END, CASE WHEN event_type = 'purchase' THEN 'purchase' END] if x IS NOT NULL] AS reasons FROM events)"""
 PINNED = """keyed AS (SELECT *, structural = max(structural) OVER (PARTITION BY query_id) AS leader, (query_id * 7 + name) % 3 AS m FROM base),
-keys AS (SELECT *, CASE WHEN leader THEN structural ELSE round(structural + CASE WHEN m = 0 THEN 0.5::DOUBLE ELSE 0 END, 9) END AS key FROM keyed),
+keys AS (SELECT *, CASE WHEN leader THEN structural ELSE round(structural + CASE WHEN m = 0 THEN 0.5::DOUBLE ELSE 0 END, 12) END AS key FROM keyed),
 placed AS (SELECT *, row_number() OVER w AS position, lag(key) OVER w AS prev FROM keys WINDOW w AS (PARTITION BY query_id ORDER BY leader DESC, key DESC, name)),
 pinned AS (SELECT query_id, name, key, max(CASE WHEN prev IS NULL OR prev <> key THEN position END) OVER (PARTITION BY query_id ORDER BY position)::INT AS rank, position::INT AS position, CASE m WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE END AS verdict FROM placed)"""
 
@@ -460,8 +460,8 @@ def _metric_sql() -> str:
     return ", ".join(out)
 
 
-LARGE = f"round({D(0.15)}*wl + {D(0.15)}*jaccard + {D(0.3)}*collapse_match, 9)"
-SMALL = f"round({D(0.15)}*wl + {D(0.4)}*teds + {D(0.15)}*jaccard + {D(0.3)}*collapse_match, 9)"
+LARGE = f"round({D(0.15)}*wl + {D(0.15)}*jaccard + {D(0.3)}*collapse_match, 12)"
+SMALL = f"round({D(0.15)}*wl + {D(0.4)}*teds + {D(0.15)}*jaccard + {D(0.3)}*collapse_match, 12)"
 ORACLE = {
     "corpus_live_count": "SELECT count(*) AS live FROM documents WHERE text IS NOT NULL AND text <> 'null'",
     "node_band_counts": f"WITH {NODES}, {BANDS} SELECT b.query_id, b.size, round(low, 6) AS low, round(high, 6) AS high, count(s.tree_id) AS in_band FROM bands b LEFT JOIN stats s ON s.size BETWEEN round(low, 6) AND round(high, 6) GROUP BY ALL",
@@ -496,7 +496,7 @@ ORACLE = {
     "fused_scores": f"WITH {PAIRS} SELECT query_id, name, {STRUCT} AS final FROM comp",
     "large_tree_fallback": f"WITH {PAIRS} SELECT query_id, name, CASE WHEN raw_size <= 9 THEN teds END AS teds, CASE WHEN raw_size > 9 THEN {LARGE} ELSE {SMALL} END AS final FROM comp",
     "margin_gate": f"WITH {PAIRS}, s AS (SELECT *, {STRUCT} AS st FROM comp), o AS (SELECT query_id, st, row_number() OVER (PARTITION BY query_id ORDER BY st DESC, name) AS r FROM s), g AS (SELECT query_id, max(CASE WHEN r = 1 THEN st END) - coalesce(max(CASE WHEN r = 2 THEN st END), 0) AS margin FROM o WHERE r <= 2 GROUP BY query_id), "
-    "e AS (SELECT query_id, round(0.6::DOUBLE * greatest(0.2::DOUBLE, 1 - margin / 0.05::DOUBLE), 9) AS dw FROM g) SELECT query_id, name, dw AS dense_weight, round(0.1::DOUBLE*wl + 0.3::DOUBLE*teds + 0.1::DOUBLE*jaccard + 0.5::DOUBLE*collapse_match + dw*jaccard, 9) AS final FROM s JOIN e USING (query_id)",
+    "e AS (SELECT query_id, round(0.6::DOUBLE * greatest(0.2::DOUBLE, 1 - margin / 0.05::DOUBLE), 6) AS dw FROM g) SELECT query_id, name, dw AS dense_weight, round(0.1::DOUBLE*wl + 0.3::DOUBLE*teds + 0.1::DOUBLE*jaccard + 0.5::DOUBLE*collapse_match + dw*jaccard, 12) AS final FROM s JOIN e USING (query_id)",
     "competition_rank": f"WITH {RANKED} SELECT * FROM ranked",
     "adaptive_budget": f"WITH {TOP}, k AS (SELECT query_id, size, least(5, trunc(0.4::DOUBLE * size)::INT) AS k FROM bands) SELECT k.query_id, k.size, k.k, count(t.name) AS kept FROM k LEFT JOIN top t ON t.query_id = k.query_id AND t.position <= k.k GROUP BY ALL",
     "cascade_k": f"WITH {NODES} SELECT tree_id, CASE WHEN size < 5 THEN 100 WHEN size < 11 THEN 300 WHEN size < 21 THEN 750 ELSE 1500 END AS k FROM stats",

@@ -8,6 +8,7 @@ walks are driven by it.
 from __future__ import annotations
 
 import json
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ SHAPES = {
 }
 #: Constructors that may be given as a bare string instead of an object.
 BARE = {"fvar", "mvar", "sort"}
+#: Frames that walks of a tree may take; expressions of some thousand levels fit.
+DEEPEST = 20_000
 DROPPED_BINDERS = {"BVar", "FVar", "MVar", "Sort", "Const"}
 NODE_SCHEMA = "tree_id string, node_id int, parent_id int, ord int, depth int, ctor string, label string, n_children int, error string"
 
@@ -63,7 +66,7 @@ def parse(data) -> Node:
         raise ValueError(f"{key}: not an object")
     if missing := [f for f in (*(n for n, _ in payload), *children) if f not in body]:
         raise ValueError(f"{key}: missing {missing}")
-    return ctor, tuple(_payload(body[n], k, f"{key}.{n}") for n, k in payload), tuple(parse(body[c]) for c in children)
+    return ctor, tuple(_payload(body[n], k, f"{key}.{n}") for n, k in payload), tuple([parse(body[c]) for c in children])
 
 
 def name_binders(node: Node, stack: tuple[str, ...] = ()) -> Node:
@@ -79,8 +82,8 @@ def name_binders(node: Node, stack: tuple[str, ...] = ()) -> Node:
         return ctor, (stack[index],), ()
     if ctor in ("Lam", "ForallE", "LetE"):
         inner = (payload[0], *stack)
-        return ctor, payload, (name_binders(children[0], stack), *(name_binders(c, inner) for c in children[1:]))
-    return ctor, payload, tuple(name_binders(c, stack) for c in children)
+        return ctor, payload, (name_binders(children[0], stack), *[name_binders(c, inner) for c in children[1:]])
+    return ctor, payload, tuple([name_binders(c, stack) for c in children])
 
 
 def keyed(node: Node) -> tuple[str, Node, tuple]:
@@ -89,11 +92,20 @@ def keyed(node: Node) -> tuple[str, Node, tuple]:
     Keys name the structure: binder kinds and let flags do not count.
     """
     ctor, payload, children = node
-    kids = tuple(map(keyed, children))
+    kids = tuple([keyed(c) for c in children])
     shown = payload[:1] if ctor in ("Lam", "ForallE", "LetE") else payload
     return "-".join([ctor, *(",".join(p) if isinstance(p, tuple) else str(p) for p in shown), *(k[0] for k in kids)]), node, kids
 
 
+def numbered(node: Node, ids: dict) -> tuple[int, Node, tuple]:
+    """As ``keyed``, with a number for each different key, so that a node costs the same at any depth."""
+    ctor, payload, children = node
+    kids = tuple([numbered(c, ids) for c in children])
+    shown = payload[:1] if ctor in ("Lam", "ForallE", "LetE") else payload
+    told = tuple([",".join(p) if isinstance(p, tuple) else str(p) for p in shown])
+    return ids.setdefault((ctor, told, tuple([k[0] for k in kids])), len(ids)), node, kids
+
+
 def structural_key(node: Node) -> str:
     return keyed(node)[0]
 
@@ -113,14 +125,14 @@ def _counts(top: tuple[str, Node, tuple]) -> Counter:
 
 def share_subtrees(node: Node, named: bool = True) -> Node:
     """Every repeated subtree that is no constant becomes a variable v0, v1, ... in preorder."""
-    top = keyed(name_binders(node) if named else node)
+    top = numbered(name_binders(node) if named else node, {})
     counts, names = _counts(top), {}
 
-    def walk(at: tuple[str, Node, tuple]) -> Node:
+    def walk(at: tuple[int, Node, tuple]) -> Node:
         key, (ctor, payload, _), kids = at
         if ctor != "Const" and counts[key] > 1:
             return "FVar", (names.setdefault(key, f"v{len(names)}"),), ()
-        return ctor, payload, tuple(map(walk, kids))
+        return ctor, payload, tuple([walk(k) for k in kids])
 
     return walk(top)
 
@@ -137,7 +149,7 @@ def drop_simple_binders(node: Node) -> Node:
 def _dropped(node: Node) -> Node:
     while node[0] == "ForallE" and node[2][0][0] in DROPPED_BINDERS:
         node = node[2][1]
-    return node[0], node[1], tuple(map(_dropped, node[2]))
+    return node[0], node[1], tuple([_dropped(c) for c in node[2]])
 
 
 def label(node: Node) -> str:
@@ -179,6 +191,7 @@ def flatten(expressions: DataFrame, id_col: str = "tree_id", json_col: str = "ex
     kinds = [pa.string() if c.endswith("string") else pa.int32() for c in NODE_SCHEMA.split(", ")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         for batch in batches:
             rows = []
             for tree, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -197,6 +210,29 @@ def flatten(expressions: DataFrame, id_col: str = "tree_id", json_col: str = "ex
     return expressions.select(F.col(id_col).cast("string"), json_col).mapInArrow(walk, NODE_SCHEMA)
 
 
+def constant_tokens(expressions: DataFrame, id_col: str = "tree_id", json_col: str = "expression_json") -> DataFrame:
+    """``tree_id, name``: constants of the expressions as they stand, each occurrence a row.
+
+    Nothing is shared or simplified first, and a projection names its type.
+    Null and malformed expressions have none.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+        for batch in batches:
+            ids, names = [], []
+            for tree, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    found = constant_names(parse(text)) if text is not None else []
+                except (ValueError, RecursionError):
+                    found = []
+                ids += [tree] * len(found)
+                names += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string())], ["tree_id", "name"])
+
+    return expressions.select(F.col(id_col).cast("string"), json_col).mapInArrow(walk, "tree_id string, name string")
+
+
 def subtree_keys(nodes: DataFrame) -> DataFrame:
     """``tree_id, node_id, depth, key``: structural keys built level by level, deepest first, from a node table."""
     deepest = nodes.agg(F.max("depth")).first()[0]

@@ -40,14 +40,17 @@ def hybrid(wl: DataFrame, bm25: DataFrame | None, dense: DataFrame | None, setti
 
 
 def fused(weights: Weights, dense_weight: Column | None = None) -> Column:
-    """Weighted sum of the components; a missing tree-edit score counts 0."""
+    """Weighted sum of the components; a missing tree-edit score counts 0.
+
+    Components have six places, so twelve hold the sum and no tie is left to rounding.
+    """
     parts = [F.lit(float(getattr(weights, c))) * F.coalesce(F.col(c), F.lit(0.0)) for c in COMPONENTS if c != "dense"]
     parts.append((F.lit(float(weights.dense)) if dense_weight is None else dense_weight) * F.coalesce(F.col("dense"), F.lit(0.0)))
-    return F.round(reduce(lambda a, b: a + b, parts), 9)
+    return F.round(reduce(lambda a, b: a + b, parts), 12)
 
 
 def structural(weights: Weights) -> Column:
-    return F.round(reduce(lambda a, b: a + b, (F.lit(float(getattr(weights, c))) * F.coalesce(F.col(c), F.lit(0.0)) for c in COMPONENTS[:4])), 9)
+    return F.round(reduce(lambda a, b: a + b, (F.lit(float(getattr(weights, c))) * F.coalesce(F.col(c), F.lit(0.0)) for c in COMPONENTS[:4])), 12)
 
 
 def score_candidates(rows: DataFrame, weights: Weights, large: Weights | None = None, cutoff: int = 50) -> DataFrame:
@@ -57,18 +60,21 @@ def score_candidates(rows: DataFrame, weights: Weights, large: Weights | None =
     return told.withColumn("final", F.when(big, fused(large or weights)).otherwise(fused(weights)))
 
 
-def margin_gate(rows: DataFrame, weights: Weights, gate: MarginGate) -> DataFrame:
-    """``final`` with the dense weight reduced where structure already decides.
+def margin_gate(rows: DataFrame, weights: Weights, gate: MarginGate, large: Weights | None = None, cutoff: int = 50) -> DataFrame:
+    """``final`` with the gate's dense weight, reduced where structure already decides.
 
     The margin is the best structural score less the second, 0 if there is none.
+    Queries of more than ``cutoff`` raw nodes use the large-tree weights, if given.
     """
-    s = rows.withColumn("structural", structural(weights))
+    big = F.col("raw_size") > cutoff if large is not None else F.lit(False)
+    s = rows.withColumn("structural", F.when(big, structural(large or weights)).otherwise(structural(weights)))
     w = Window.partitionBy("query_id").orderBy(F.desc("structural"), "name")
     ranked = s.withColumn("_r", F.row_number().over(w))
     best = ranked.where("_r <= 2").groupBy("query_id").agg((F.max(F.when(F.col("_r") == 1, F.col("structural"))) - F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("structural"))), F.lit(0.0))).alias("margin"))
-    dw = float(weights.dense)
+    dw = float(gate.dense_weight)
     eff = F.lit(dw) if gate.threshold <= 0 else F.lit(dw) * F.greatest(F.lit(float(gate.floor)), 1 - F.col("margin") / gate.threshold)
-    return s.join(best, "query_id").withColumn("dense_weight", F.round(eff, 9)).withColumn("final", fused(weights, F.col("dense_weight")))
+    told = s.join(best, "query_id").withColumn("dense_weight", F.round(eff, 6))
+    return told.withColumn("final", F.when(big, fused(large or weights, F.col("dense_weight"))).otherwise(fused(weights, F.col("dense_weight"))))
 
 
 def competition_rank(rows: DataFrame, score: str = "final") -> DataFrame:
@@ -104,7 +110,7 @@ def pinned_rank(rows: DataFrame, verdicts: DataFrame, weights: Weights | None =
     """
     s = rows if weights is None else rows.withColumn("structural", structural(weights))
     told = s.join(verdicts, ["query_id", "name"], "left").withColumn("leader", F.col("structural") == F.max("structural").over(Window.partitionBy("query_id")))
-    told = told.withColumn("key", F.when(F.col("leader"), F.col("structural")).otherwise(F.round(F.col("structural") + F.when(F.col("applicable"), F.lit(float(bonus))).otherwise(F.lit(0.0)), 9)))
+    told = told.withColumn("key", F.when(F.col("leader"), F.col("structural")).otherwise(F.round(F.col("structural") + F.when(F.col("applicable"), F.lit(float(bonus))).otherwise(F.lit(0.0)), 12)))
     order = Window.partitionBy("query_id").orderBy(F.desc("leader"), F.desc("key"), "name")
     told = told.withColumn("position", F.row_number().over(order)).withColumn("_prev", F.lag("key").over(order))
     changed = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("key")), F.col("position"))

@@ -94,14 +94,17 @@ def tree_arrays(nodes: DataFrame) -> DataFrame:
     return rows.select("tree_id", F.transform("t", lambda x: x["depth"]).alias("depths"), F.transform("t", lambda x: x["label"]).alias("labels"), F.size("t").alias("size"))
 
 
-def ted_scores(pairs: DataFrame, nodes: DataFrame, size_cutoff: int | None = None, insert: float = 1.0, delete: float = 1.0, replace: float = 0.4, scale: float = 0.2) -> DataFrame:
+def ted_scores(pairs: DataFrame, nodes: DataFrame, size_cutoff: int | None = None, insert: float = 1.0, delete: float = 1.0, replace: float = 0.4, scale: float = 0.2, raw: DataFrame | None = None) -> DataFrame:
     """``query_id, name, teds`` of pairs of trees; null for queries of more than ``size_cutoff`` nodes.
 
     Pairs of equal shapes are computed once; pairs over the cutoff never reach
-    Python.  Tree ids without nodes give null.
+    Python.  Tree ids without nodes give null.  Distances are taken over the
+    larger of the candidate's size and the query's, which is its ``raw_size``
+    where ``raw`` (``query_id, raw_size``) has one.
     """
     trees = tree_arrays(nodes).withColumn("shape", F.md5(F.concat_ws("|", F.transform("depths", lambda d: d.cast("string")), F.col("labels"))))
-    keyed = pairs.select("query_id", "name").join(trees.select(F.col("tree_id").alias("query_id"), F.col("shape").alias("qs"), F.col("size").alias("q_size")), "query_id", "left").join(trees.select(F.col("tree_id").alias("name"), F.col("shape").alias("cs")), "name", "left")
+    keyed = pairs.select("query_id", "name").join(trees.select(F.col("tree_id").alias("query_id"), F.col("shape").alias("qs"), F.col("size").alias("q_size")), "query_id", "left").join(trees.select(F.col("tree_id").alias("name"), F.col("shape").alias("cs"), F.col("size").alias("c_size")), "name", "left")
+    keyed = keyed.withColumn("base", F.col("q_size")) if raw is None else keyed.join(raw.select("query_id", F.col("raw_size").alias("base")), "query_id", "left").withColumn("base", F.coalesce("base", "q_size"))
     asked = keyed if size_cutoff is None else keyed.where(F.col("q_size") <= size_cutoff)
     shapes = trees.groupBy("shape").agg(F.first("depths").alias("depths"), F.first("labels").alias("labels"))
     work = asked.where("qs is not null and cs is not null").select("qs", "cs").distinct().join(shapes.select(F.col("shape").alias("qs"), F.col("depths").alias("qd"), F.col("labels").alias("ql")), "qs").join(shapes.select(F.col("shape").alias("cs"), F.col("depths").alias("cd"), F.col("labels").alias("cl")), "cs")
@@ -113,9 +116,9 @@ def ted_scores(pairs: DataFrame, nodes: DataFrame, size_cutoff: int | None = Non
             out = []
             for qd, ql, cd, cl in zip(pdf["qd"], pdf["ql"], pdf["cd"], pdf["cl"]):
                 left, right = build(tuple(qd), tuple(ql)), build(tuple(cd), tuple(cl))
-                out.append(similarity(edit_distance(left, right, insert, delete, replace, scale), len(ql), len(cl)))
-            yield pd.DataFrame({"qs": pdf["qs"], "cs": pdf["cs"], "teds": out})
+                out.append(edit_distance(left, right, insert, delete, replace, scale))
+            yield pd.DataFrame({"qs": pdf["qs"], "cs": pdf["cs"], "distance": out})
 
-    scored = work.mapInPandas(run, "qs string, cs string, teds double")
+    scored = work.mapInPandas(run, "qs string, cs string, distance double")
     over = F.lit(False) if size_cutoff is None else F.col("q_size") > size_cutoff
-    return keyed.join(scored, ["qs", "cs"], "left").select("query_id", "name", F.when(~over, F.col("teds")).alias("teds"))
+    return keyed.join(scored, ["qs", "cs"], "left").select("query_id", "name", F.when(~over, 1 - F.col("distance") / F.greatest("base", "c_size")).alias("teds"))

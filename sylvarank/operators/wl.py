@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LEAF_KINDS
-from ..sources.staging import stage
-from .bands import band, binned_band_join, top_k
+from ..sources.staging import dense_ranks, stage
+from .bands import band, band_counts, binned_band_join, top_k
 
 
 def tree_stats(nodes: DataFrame) -> DataFrame:
@@ -24,28 +24,35 @@ def initial_labels(nodes: DataFrame, prefixes: tuple[str, ...] = LEAF_KINDS) ->
 
 
 def refine(labelled: DataFrame) -> DataFrame:
-    """One round: each node's label with its children's, sorted, hashed.  One shuffle by tree and parent."""
-    below = labelled.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("wl")), ",").alias("below"))
-    joined = labelled.join(below, ["tree_id", "node_id"], "left")
-    told = F.concat(F.col("wl"), F.when(F.col("below").isNotNull(), F.concat(F.lit("("), F.col("below"), F.lit(")"))).otherwise(F.lit("")))
-    return joined.withColumn("wl", F.md5(told.cast("binary"))).drop("below")
+    """One round: each node's label with its children's, sorted, hashed.
+
+    Every node tells itself and its parent, and one aggregation by tree and node
+    collects what it was told; rows that lie together by tree stay where they are.
+    """
+    me = F.struct(*labelled.columns)
+    told = F.array(F.struct(F.col("node_id").alias("at"), me.alias("me"), F.lit(None).cast("string").alias("below")), F.struct(F.col("parent_id").alias("at"), F.when(F.lit(False), me).alias("me"), F.col("wl").alias("below")))
+    rows = labelled.select("tree_id", F.explode(told).alias("x")).where("x.at is not null")
+    met = rows.groupBy("tree_id", F.col("x.at").alias("at")).agg(F.max("x.me").alias("me"), F.array_join(F.array_sort(F.collect_list("x.below")), ",").alias("below"), F.count("x.below").alias("kids")).where("me is not null")
+    text = F.concat(F.col("me.wl"), F.when(F.col("kids") > 0, F.concat(F.lit("("), F.col("below"), F.lit(")"))).otherwise(F.lit("")))
+    return met.select(*(F.md5(text.cast("binary")).alias(c) if c == "wl" else F.col(f"me.{c}").alias(c) for c in labelled.columns))
 
 
 def encode(nodes: DataFrame, iterations: int = 3, prefixes: tuple[str, ...] = LEAF_KINDS) -> DataFrame:
-    """``tree_id, key, cnt``: histogram of the labels of rounds before the tree's depth; single nodes have none."""
-    rows = initial_labels(nodes.select("tree_id", "node_id", "parent_id", "depth", "label"), prefixes).select("tree_id", "node_id", "parent_id", "wl")
-    rows = rows.join(nodes.groupBy("tree_id").agg(F.max("depth").alias("rounds")), "tree_id")
-    out = None
-    for i in range(iterations):  # each round is read twice, by its histogram and by the next one
-        rows = stage(refine(rows.where(F.col("rounds") > i)), "labels")
-        part = rows.groupBy("tree_id", F.concat(F.lit(f"{i}_"), F.col("wl")).alias("key")).agg(F.count("*").alias("cnt"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``tree_id, key, cnt``: histogram of the labels of rounds before the tree's depth; single nodes have none.
+
+    Nodes are dealt by tree once; the rounds and the histogram follow without another shuffle.
+    """
+    rows = initial_labels(nodes.select("tree_id", "node_id", "parent_id", "depth", "label"), prefixes).repartition("tree_id")
+    rows = rows.select("tree_id", "node_id", "parent_id", "wl", F.max("depth").over(Window.partitionBy("tree_id")).alias("rounds"))
+    for i in range(iterations):
+        rows = refine(rows).withColumn(f"w{i}", F.when(F.col("rounds") > i, F.concat(F.lit(f"{i}_"), F.col("wl"))))
+    keys = rows.select("tree_id", F.explode(F.array(*(f"w{i}" for i in range(iterations)))).alias("key")).where("key is not null")
+    return keys.groupBy("tree_id", "key").agg(F.count("*").alias("cnt"))
 
 
 def dictionary(encoding: DataFrame) -> DataFrame:
     """``key, id``: dense ids from 0 in key order."""
-    return encoding.select("key").distinct().select("key", (F.dense_rank().over(Window.orderBy("key")) - 1).cast("int").alias("id"))
+    return dense_ranks(encoding.select("key")).select(F.col("value").alias("key"), F.col("rank").cast("int").alias("id"))
 
 
 def vectors(encoding: DataFrame, ids: DataFrame) -> DataFrame:
@@ -75,40 +82,58 @@ def cosine(dot: Column, left: Column, right: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot.cast("double") / (left * right)))
 
 
-def class_scores(wanted: DataFrame, keyed: DataFrame, **limits) -> DataFrame:
-    """``q, c, score`` of query and corpus classes of comparable sizes that share a label."""
-    q = keyed.join(wanted.select("cls").distinct(), "cls", "left_semi")
-    low, high = band(F.col("size"), **limits)
-    q = q.select(F.col("cls").alias("q"), low.alias("low"), high.alias("high"), "key", F.col("cnt").alias("qc"), F.col("norm").alias("qn"))
-    c = keyed.select(F.col("cls").alias("c"), "size", "key", F.col("cnt").alias("cc"), F.col("norm").alias("cn"))
-    pairs = q.join(c, "key").where(F.col("size").between(F.col("low"), F.col("high")))
+def class_scores(asked: DataFrame, keyed: DataFrame, width: int = 16) -> DataFrame:
+    """``q, c, score`` of query and corpus classes that share a label, the corpus class being in the query's band.
+
+    ``asked``: ``q, cls, low, high``.  Labels are joined within bins of sizes,
+    so a label that all trees have does not link those of other sizes.
+    """
+    q = keyed.select("cls", "key", F.col("cnt").alias("qc"), F.col("norm").alias("qn")).join(asked, "cls").drop("cls")
+    q = q.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    c = keyed.select(F.col("cls").alias("c"), "size", "key", F.col("cnt").alias("cc"), F.col("norm").alias("cn"), F.floor(F.col("size") / width).alias("bin"))
+    pairs = q.join(c, ["key", "bin"]).where(F.col("size").between(F.col("low"), F.col("high")))
     return pairs.groupBy("q", "c").agg(cosine(F.sum(F.col("qc") * F.col("cc")), F.first("qn"), F.first("cn")).alias("score"))
 
 
-def cosine_top_k(encoding: DataFrame, stats: DataFrame, queries: DataFrame, k: int, zero_fill: bool = False, among: DataFrame | None = None, **limits) -> DataFrame:
+def cosine_top_k(encoding: DataFrame, stats: DataFrame, queries: DataFrame, k: int, zero_fill: bool = False, among: DataFrame | None = None, raw: DataFrame | None = None, **limits) -> DataFrame:
     """``query_id, name, score, position``: the k best trees for each query by rounded score, then id.
 
     A class beyond the first k (by score, then least member) has k better trees
     before it, so only k classes and k members of each are expanded: what is
     ranked per query is bounded, however many trees are alike.  With
     ``zero_fill`` comparable trees that share no label follow with score 0;
-    ``among`` names the trees that may be found, all by default.
+    ``among`` names the trees that may be found, all by default.  ``raw`` has
+    the ``raw_size`` of queries, by which large ones get their wider band.
     """
     trees, keyed = classes(encoding, stats)
     wanted = trees.join(queries.select(F.col("query_id").alias("tree_id")), "tree_id", "left_semi")
-    scored = class_scores(wanted, keyed, **limits).withColumn("score", F.round("score", 9))
+    sizes_of = wanted.withColumn("raw_size", F.col("size")) if raw is None else wanted.join(raw.select(F.col("query_id").alias("tree_id"), "raw_size"), "tree_id", "left").withColumn("raw_size", F.coalesce("raw_size", "size"))
+    low, high = band(F.col("size"), F.col("raw_size"), **limits)
+    wanted = stage(sizes_of.select("tree_id", "cls", low.alias("low"), high.alias("high")).withColumn("q", F.concat_ws("|", "cls", F.col("low").cast("string"))), "wanted")
+    asked = wanted.select("q", "cls", "low", "high").distinct()
+    scored = class_scores(asked, keyed).withColumn("score", F.round("score", 9))
     if zero_fill:
         sizes = trees.select("cls", "size").distinct()
-        low, high = band(F.col("size"), **limits)
-        q = sizes.join(wanted.select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("q"), low.alias("low"), high.alias("high"))
-        inside = binned_band_join(q, sizes.withColumnRenamed("cls", "c"), "low", "high", "size", 16).select("q", "c")
+        inside = binned_band_join(asked.drop("cls"), sizes.withColumnRenamed("cls", "c"), "low", "high", "size", 16).select("q", "c")
         scored = inside.join(scored, ["q", "c"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     trees = trees if among is None else trees.join(among.select("tree_id"), "tree_id", "left_semi")
     first = trees.groupBy(F.col("cls").alias("c")).agg(F.min("tree_id").alias("least"))
     best = top_k(scored.join(first, "c"), ["q"], [F.desc("score"), F.col("least")], k, "_p").drop("_p", "least")
     members = top_k(trees.select(F.col("cls").alias("c"), F.col("tree_id").alias("name")), ["c"], [F.col("name")], k, "_p").drop("_p")
     ranked = top_k(best.join(members, "c"), ["q"], [F.desc("score"), F.col("name")], k)
-    return wanted.select(F.col("tree_id").alias("query_id"), F.col("cls").alias("q")).join(ranked, "q").select("query_id", "name", "score", "position")
+    return wanted.select(F.col("tree_id").alias("query_id"), "q").join(ranked, "q").select("query_id", "name", "score", "position")
+
+
+def band_totals(stats: DataFrame, queries: DataFrame, encoding: DataFrame | None = None, raw: DataFrame | None = None, among: DataFrame | None = None, **limits) -> DataFrame:
+    """``query_id, low, high, in_band, joined``: comparable corpus trees of each query, and those of them that have an encoding."""
+    corpus = stats if among is None else stats.join(among.select("tree_id"), "tree_id", "left_semi")
+    asked = stats.join(queries.select(F.col("query_id").alias("tree_id")), "tree_id", "left_semi").select(F.col("tree_id").alias("query_id"), "size")
+    asked = asked.withColumn("raw_size", F.col("size")) if raw is None else asked.join(raw.select("query_id", "raw_size"), "query_id", "left").withColumn("raw_size", F.coalesce("raw_size", "size"))
+    low, high = band(F.col("size"), F.col("raw_size"), **limits)
+    asked = asked.select("query_id", low.alias("low"), high.alias("high"))
+    out = band_counts(asked, corpus)
+    encoded = corpus if encoding is None else corpus.join(encoding.select("tree_id").distinct(), "tree_id", "left_semi")
+    return out.join(band_counts(asked, encoded).select("query_id", F.col("in_band").alias("joined")), "query_id")
 
 
 def array_cosine(ids_a: Column, counts_a: Column, norm_a: Column, ids_b: Column, counts_b: Column, norm_b: Column) -> Column:

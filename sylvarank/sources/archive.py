@@ -14,19 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 #: Fixed values of COPY text format.
 ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
 RECORDS = "record_id long, payload string, error string"
-_ESCAPE = re.compile(rb"\\([0-7]{1,3}|x[0-9A-Fa-f]{1,2}|.)", re.S)
+_ESCAPE = re.compile(rb"\\(.)", re.S)
+#: A record's place in its source: the file, then line and column of the end and of the start.
+PLACE = r'^\{"uri": "([^"]+)", "range": \{"endPosition": \{"line": (\d+), "column": (\d+)\}, "startPosition": \{"line": (\d+), "column": (\d+)\}\}'
 
 
 def copy_unescape(raw: bytes) -> bytes:
-    def one(m: re.Match) -> bytes:
-        x = m[1]
-        if x[:1].isdigit() and x[0] < 56:
-            return bytes([int(x, 8) & 255])
-        if x[:1] == b"x" and len(x) > 1:
-            return bytes([int(x[1:], 16)])
-        return ESCAPES.get(x.decode("latin-1"), x.decode("latin-1")).encode("latin-1")
+    """Letter escapes stand for their control characters, any other character for itself; numbers are not escapes here."""
+    return _ESCAPE.sub(lambda m: ESCAPES.get(m[1].decode("latin-1"), m[1].decode("latin-1")).encode("latin-1"), raw)
 
-    return _ESCAPE.sub(one, raw)
+
+def source_place(payload: str) -> dict | None:
+    """The place that a record's text begins with, as the fields of the record."""
+    m = re.match(PLACE, payload)
+    if not m:
+        return None
+    end_line, end_column, line, column = (int(m[k]) for k in range(2, 6))
+    return {"uri": m[1], "range": {"endPosition": {"line": end_line, "column": end_column}, "startPosition": {"line": line, "column": column}}}
 
 
 def escape_controls(text: str) -> str:
@@ -47,9 +51,9 @@ def escape_controls(text: str) -> str:
 
 
 def loose_unescape(text: str) -> str:
-    """Undoes JSON string escapes; unknown or cut-off ones stay as they are."""
-    known = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
-    return re.sub(r"\\(u[0-9A-Fa-f]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else known.get(m[1], m[0]), text)
+    """Undoes JSON string escapes; an unknown one stands for its character, a backslash at the end for itself."""
+    known = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+    return re.sub(r"\\(u[0-9A-Fa-f]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else known.get(m[1], m[1]), text, flags=re.S)
 
 
 def string_field(text: str, field: str, before: str | None = None) -> str | None:
@@ -65,7 +69,10 @@ def string_field(text: str, field: str, before: str | None = None) -> str | None
 
 
 def repair_json(text: str, fields: tuple[str, ...] = (), bounded: dict[str, str] | None = None) -> dict | None:
-    """A record's object: parsed strictly, then with controls escaped, then field by field."""
+    """A record's object: parsed strictly, then with controls escaped, then field by field.
+
+    A record that is put together from its fields also gets its place, if the text begins with one.
+    """
     for attempt in (lambda: text, lambda: escape_controls(text)):
         try:
             got = json.loads(attempt())
@@ -74,7 +81,7 @@ def repair_json(text: str, fields: tuple[str, ...] = (), bounded: dict[str, str]
             continue
     found = {f: string_field(text, f) for f in fields} | {f: string_field(text, f, b) for f, b in (bounded or {}).items()}
     found = {f: v for f, v in found.items() if v is not None}
-    return found or None
+    return (source_place(text) or {}) | found or None
 
 
 def copy_records(lines: Iterator[bytes], marker: bytes) -> Iterator[tuple[int, bytes]]:

@@ -200,7 +200,7 @@ def test_archive(spark, tmp_path):
     assert got == {1: {"a": "x\ny", "k": 2}, 2: {"a": "raw\ntail", "g": 'open " quote'}}
     with pytest.raises(ValueError):
         list(archive.copy_records(iter([b"COPY x", b"1\ta"]), b"COPY x"))
-    assert archive.copy_unescape(rb"a\tb\\n\101\x41\.") == b"a\tb\\nAA."
+    assert archive.copy_unescape(rb"a\tb\\n\1\x41\.") == b"a\tb\\n1x41." and archive.loose_unescape(r"\q\"\u0041") == 'q"A'
 
 
 def test_sources(spark, tmp_path):
