@@ -368,6 +368,52 @@ def cse_keys(spark, sf):
     return keys.groupBy("tree_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("tree_id", F.md5(F.col("key").cast("binary")).alias("key_md5"), "n")
 
 
+def wl_band_totals(spark, sf):
+    """Comparable trees of each query, and those of them that have an encoding; 25 raw nodes or more widen the band."""
+    _, stats, enc = _trees(spark, sf)
+    raw = stats.where("tree_id % 50 = 0").select(F.col("tree_id").alias("query_id"), (F.col("size") * 2).alias("raw_size"))
+    got = wl.band_totals(stats, _tree_queries(spark, sf), enc, raw, diff=2, large_from=25)
+    return got.select("query_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "in_band", "joined")
+
+
+def probe_pool(spark, sf):
+    """The three best of each query and its target, which is the query's own tree."""
+    ranked = _ranked(spark, sf).select("query_id", "name", "rank", "position")
+    return fusion.probe_pool(ranked, _tree_queries(spark, sf).withColumn("target", F.col("query_id")), 3)
+
+
+def answered_queries(spark, sf):
+    rows = _verdicts(_top_pairs(spark, sf)[2])
+    return fusion.answered(rows.where("applicable is not null"))
+
+
+def target_ranks(spark, sf):
+    targets = _tree_queries(spark, sf).withColumn("target", F.col("query_id"))
+    return fusion.target_rank(targets, _ranked(spark, sf))
+
+
+def case_slice(spark, sf):
+    """Cases 11 to 60 by key, but for those done before."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), "p_name")
+    done = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("query_id"))
+    return sinks.pending(parts, done, start=10, limit=50, order_col="query_id")
+
+
+def _manifest(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.get_json_object("props", "$.k").alias("k"), F.col("value").alias("v"))
+    rows = e.select("user_id", "event_type", "event_id", F.when(F.col("event_id") % 7 > 0, F.concat(F.lit(" "), "event_type", F.lit(" "))).alias("label"), F.concat(F.lit('{"k":'), "k", F.lit("}")).alias("state"), F.when(F.col("v") >= 5, F.length("k")).alias("nodes"))
+    names = {"in_a": e.where("event_type <> 'purchase'").select("event_type"), "in_b": e.where("event_type <> 'click'").select("event_type")}
+    return manifest.build_manifest(rows.where("event_id % 3 <> 0"), rows.where("event_id % 5 <> 0"), EVENT_KEY, "event_id", "label", "state", "nodes", names)
+
+
+def manifest_rows(spark, sf):
+    return _manifest(spark, sf)[0].select("query_id", "source_id", "legacy_id", "payload_source", "label", "node_count", F.col("in_a").cast("int").alias("in_a"), F.col("in_b").cast("int").alias("in_b"), "availability_reason")
+
+
+def manifest_exclusions(spark, sf):
+    return _manifest(spark, sf)[1].select("source_id", "label", F.array_join("reasons", "|").alias("reasons"))
+
+
 def canonical_hash(spark, sf):
     return table(spark, sf, "events").select("event_id", F.sha2(manifest.canonical_json("props"), 256).alias("digest"))
 
@@ -378,6 +424,7 @@ QUERIES = {f.__name__: f for f in (
     name_tokens, dense_topk, rrf_two_lists, rrf_three_lists, hybrid_scores, constant_jaccard, collapse_match, ted_similarity, fused_scores, large_tree_fallback,
     margin_gate, competition_rank, adaptive_budget, cascade_k, output_topk_slice, retrieval_metrics, verdict_rerank, verdict_rerank_tie, verdict_counts,
     occurrence_match, legacy_backfill_anti, exclusion_reasons, exclusion_reason_counts, duplicate_pairs, resume_antijoin, text_fallback, request_lines, expr_flatten, cse_keys, canonical_hash,
+    wl_band_totals, probe_pool, answered_queries, target_ranks, case_slice, manifest_rows, manifest_exclusions,
 )}
 
 # The SQL below is built from common table expressions; each query names those it needs.
@@ -462,7 +509,21 @@ def _metric_sql() -> str:
 
 LARGE = f"round({D(0.15)}*wl + {D(0.15)}*jaccard + {D(0.3)}*collapse_match, 12)"
 SMALL = f"round({D(0.15)}*wl + {D(0.4)}*teds + {D(0.15)}*jaccard + {D(0.3)}*collapse_match, 12)"
+MANIFEST = """ev AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 7 > 0 THEN event_type END AS label, CASE WHEN value >= 5 THEN length(json_extract_string(props, '$.k'))::INT END AS nodes FROM events),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS o FROM ev WHERE event_id % 3 <> 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS o FROM ev WHERE event_id % 5 <> 0),
+allrows AS (SELECT c.event_id AS source_id, c.label, c.nodes, l.event_id AS legacy_id, 'current' AS payload_source FROM c LEFT JOIN l USING (user_id, event_type, o)
+  UNION ALL SELECT event_id, label, nodes, event_id, 'legacy' FROM l ANTI JOIN c USING (user_id, event_type, o)),
+m AS (SELECT *, array_to_string([x for x in [CASE WHEN legacy_id IS NULL THEN 'no_legacy_row' END, CASE WHEN label IS NULL THEN 'no_label' END, CASE WHEN nodes IS NULL THEN 'no_expression' END] if x IS NOT NULL], '|') AS reasons FROM allrows)"""
 ORACLE = {
+    "manifest_rows": f"WITH {MANIFEST} SELECT 'test-b-' || legacy_id AS query_id, source_id, legacy_id, payload_source, label, nodes AS node_count, (label IN (SELECT event_type FROM events WHERE event_type <> 'purchase'))::INT AS in_a, (label IN (SELECT event_type FROM events WHERE event_type <> 'click'))::INT AS in_b, CASE WHEN label IN ('purchase', 'click') THEN 'target_not_in_corpus' END AS availability_reason FROM m WHERE reasons = ''",
+    "manifest_exclusions": f"WITH {MANIFEST} SELECT source_id, label, reasons FROM m WHERE reasons <> ''",
+    "wl_band_totals": f"WITH {WL}, b AS (SELECT tree_id AS query_id, greatest(0.0::DOUBLE, least(size::DOUBLE / r, size::DOUBLE - 2)) AS low, greatest(size::DOUBLE * r, size::DOUBLE + 2) AS high FROM (SELECT *, CASE WHEN size * 2 >= 25 THEN 1.8::DOUBLE ELSE 1.2::DOUBLE END AS r FROM stats) WHERE tree_id % 50 = 0), e AS (SELECT DISTINCT tree_id FROM enc) "
+    "SELECT query_id, round(low, 6) AS low, round(high, 6) AS high, count(s.tree_id) AS in_band, count(e.tree_id) AS joined FROM b LEFT JOIN stats s ON s.size BETWEEN low AND high LEFT JOIN e ON e.tree_id = s.tree_id GROUP BY query_id, low, high",
+    "probe_pool": f"WITH {RANKED} SELECT query_id, name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, position) AS p FROM ranked) WHERE p <= 3 UNION SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderkey % 50 = 0",
+    "answered_queries": f"WITH {TOP} SELECT DISTINCT query_id FROM top WHERE (query_id * 7 + name) % 3 < 2",
+    "target_ranks": f"WITH {RANKED} SELECT o_orderkey AS query_id, o_orderkey AS target, rank AS final_rank FROM orders LEFT JOIN ranked ON query_id = o_orderkey AND name = o_orderkey WHERE o_orderkey % 50 = 0",
+    "case_slice": "SELECT p_partkey AS query_id, p_name FROM part WHERE p_partkey > 10 AND p_partkey <= 60 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
     "corpus_live_count": "SELECT count(*) AS live FROM documents WHERE text IS NOT NULL AND text <> 'null'",
     "node_band_counts": f"WITH {NODES}, {BANDS} SELECT b.query_id, b.size, round(low, 6) AS low, round(high, 6) AS high, count(s.tree_id) AS in_band FROM bands b LEFT JOIN stats s ON s.size BETWEEN round(low, 6) AND round(high, 6) GROUP BY ALL",
     "node_band_join_binned": "WITH q AS (SELECT p_partkey AS query_id, greatest(0.0::DOUBLE, least(p_size / 1.2::DOUBLE, p_size::DOUBLE - 5)) AS low, greatest(p_size * 1.2::DOUBLE, p_size::DOUBLE + 5) AS high FROM part WHERE p_partkey % 50 = 0) SELECT query_id, count(*) AS matches, min(p_partkey) AS first_key, max(p_partkey) AS last_key FROM q JOIN part ON p_size BETWEEN low AND high GROUP BY query_id",

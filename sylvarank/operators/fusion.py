@@ -123,5 +123,10 @@ def probe_pool(ranked: DataFrame, queries: DataFrame, top_n: int = 50, include_t
     return pool.unionByName(queries.select("query_id", F.col("target").alias("name"))).distinct() if include_target else pool
 
 
+def answered(verdicts: DataFrame) -> DataFrame:
+    """``query_id`` of the queries that have a verdict line at all, known or not."""
+    return verdicts.select("query_id").distinct()
+
+
 def verdict_counts(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.count("*").alias("probes"), F.count_if("applicable").alias("applicable"), F.count_if(~F.col("applicable")).alias("rejected"), F.count_if(F.col("applicable").isNull()).alias("unknown"))

@@ -44,6 +44,31 @@ def coverage(rows: DataFrame, key: str, sets: dict[str, DataFrame]) -> DataFrame
     return rows
 
 
+def build_manifest(current: DataFrame, legacy: DataFrame, key: list[str], row_id: str, label: str, state: str, node_count: str, names: dict[str, DataFrame], prefix: str = "test-b") -> tuple[DataFrame, DataFrame]:
+    """The kept rows of a data set, and the excluded ones with their reasons.
+
+    ``current`` and ``legacy`` have the columns ``key`` (a row's place in its
+    source), ``row_id``, ``label``, ``state`` (canonical JSON) and
+    ``node_count`` (null where the state is no expression).  A current row
+    stands for the legacy row of the same place and occurrence; legacy rows that
+    none stands for are filled in from their own payload.  A kept row is named
+    after its legacy row and says in which of the ``names`` its label is.
+    Labels are trimmed; a row without legacy row, label or readable state is
+    excluded with every reason that holds.
+    """
+    own = [*key, row_id, label, state, node_count]
+    here = match_occurrences(current.select(*own), legacy, key, [row_id], row_id).withColumn("payload_source", F.lit("current"))
+    filled = never_matched(legacy.select(*own), current, key, [row_id], row_id).withColumn("legacy_id", F.col(row_id)).withColumn("payload_source", F.lit("legacy"))
+    rows = here.unionByName(filled).withColumn(label, F.nullif(F.trim(F.coalesce(label, F.lit(""))), F.lit("")))
+    rows = with_reasons(rows, {"no_legacy_row": F.col("legacy_id").isNull(), "no_label": F.col(label).isNull(), "no_expression": F.col(node_count).isNull()})
+    kept = coverage(rows.where(F.size("reasons") == 0), label, names)
+    everywhere = F.lit(True)
+    for n in names:
+        everywhere = everywhere & F.col(n)
+    kept = kept.select(F.concat(F.lit(f"{prefix}-"), F.col("legacy_id").cast("string")).alias("query_id"), F.col(row_id).alias("source_id"), "legacy_id", "payload_source", F.col(label).alias("label"), F.col(state).alias("state"), F.col(node_count).alias("node_count"), *names, F.when(~everywhere, F.lit("target_not_in_corpus")).alias("availability_reason"))
+    return kept, rows.where(F.size("reasons") > 0).select(F.col(row_id).alias("source_id"), F.col(label).alias("label"), "reasons")
+
+
 def duplicate_pairs(rows: DataFrame, *columns: str) -> DataFrame:
     """One row ``total, distinct, repeated`` of column tuples, compared by digest."""
     told = F.sha2(F.to_json(F.struct(*columns)), 256)

@@ -11,7 +11,8 @@ QUERY_CASES = T.StructType([
     T.StructField("expression_json", T.StringType()), T.StructField("expression_text", T.StringType()), T.StructField("query_text", T.StringType()), T.StructField("line_number", T.LongType()),
 ])
 CLEAN_QUERIES = "query_id string, target string, clean_text string"
-RUN_RECORDS = "query_id string, benchmark string, target string, final_rank int, exception string, top_k array<struct<name:string,wl:double,teds:double,jaccard:double,collapse_match:double,final:double,rank:int,dense:double,bm25:double>>"
+SCORES = "struct<name:string,wl:double,teds:double,jaccard:double,collapse_match:double,final:double,rank:int,dense:double,bm25:double>"
+RUN_RECORDS = f"query_id string, benchmark string, target string, final_rank int, exception string, top_k array<{SCORES}>, target_scores {SCORES}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
