@@ -86,6 +86,13 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """A bitmap of 1024 bits with one for each element."""
+    bits = np.zeros(1024, bool)
+    bits[s & np.uint64(1023)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -155,19 +162,19 @@ def sample_pivots(rows: DataFrame, percent: int, count: int = 512, longest: int
     return Pivots([shingle_set(r["text"], hashes) for r in texts.select("text").collect()] if 2 * percent > 100 else [], percent)
 
 
-FACTS = "doc_id long, n long, hi long, lo long, shingles binary, cell int, cell_d double, links array<int>, near array<int>, near_d array<double>, shingle long, times long"
+FACTS = "doc_id long, n long, hi long, lo long, shingles binary, sketch array<long>, cell int, cell_d double, links array<int>, near array<int>, near_d array<double>, shingle long, times long"
 
 
 def _facts(rows: DataFrame, pivots: Pivots, percent: int) -> DataFrame:
     """A row per document, and the shingles that a task meets often.
 
     ``doc_id, n, hi, lo``: id, size and digest of the set.  The first row of a
-    task with some set also has its ``shingles``, its ``cell`` (the nearest
+    task with some set also has its ``shingles`` and their ``sketch``, its ``cell`` (the nearest
     pivot, if linked) and the distance, the other ``links`` with pivots, and the
     pivots ``near`` it: within twice the radius but not linked.
     """
     sent = rows.sparkSession.sparkContext.broadcast(pivots)
-    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}[k]) for n, k in (c.split(" ") for c in FACTS.split(", "))])
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}[k]) for n, k in (c.split(" ") for c in FACTS.split(", "))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, hashes = sent.value, _Hashes()
@@ -196,7 +203,7 @@ def _facts(rows: DataFrame, pivots: Pivots, percent: int) -> DataFrame:
                 hi, lo = np.frombuffer(key, np.int64).tolist()
                 doc = doc.as_py()
                 if key in seen or doc is None or not len(s):
-                    out.append((doc, len(s), hi, lo, *[None] * 8))
+                    out.append((doc, len(s), hi, lo, *[None] * 9))
                 else:
                     seen.add(key)
                     pending.append(s)
@@ -212,7 +219,7 @@ def _facts(rows: DataFrame, pivots: Pivots, percent: int) -> DataFrame:
                         if len(mine):
                             first = int(np.argmin(own_d))
                             cell, cell_d, links = int(mine[first]), float(own_d[first]), np.delete(mine, first).tolist()
-                    out.append((doc, len(s), hi, lo, raw, cell, cell_d, links, near.tolist(), distance.tolist(), None, None))
+                    out.append((doc, len(s), hi, lo, raw, sketch(s), cell, cell_d, links, near.tolist(), distance.tolist(), None, None))
                     size += len(raw)
                     if held > 400_000:
                         merge()
@@ -380,13 +387,29 @@ def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return stage(nodes.join(merged, nodes["label"] == merged["node"], "left").select("doc_id", "first", F.coalesce("to", "label").alias("label")), "nodes")
 
 
+def _possible(pairs: DataFrame, carriers: DataFrame, percent: int, most: int) -> DataFrame:
+    """``x, p, possible``: whether the sketches of a pair leave it open that the two are linked.
+
+    A bit that only one of two sketches has stands for an element, at least,
+    that only that set has; so many elements at most are common.
+    """
+    small = carriers.select("doc_id", F.col("n").cast("long").alias("n"), "sketch")
+    of_x, of_p = (small.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s")) for c in "xp")
+    ends = broadcast_if_few(stage(pairs.select("p").distinct(), "ends"), most)
+    both = of_x.join(broadcast_if_few(pairs.select("x", "p"), most), "x").join(of_p.join(ends, "p", "left_semi"), "p")
+    only = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0).cast("long"), lambda t, k: t + k)
+    most_common = F.least(F.col("xn") - only("xs", "ps"), F.col("pn") - only("ps", "xs"))
+    return stage(both.select("x", "p", ((100 + percent) * most_common >= percent * (F.col("xn") + F.col("pn"))).alias("possible")), "possible")
+
+
 def _measured(pairs: DataFrame, carriers: DataFrame, percent: int, most: int = 300_000) -> DataFrame:
-    """``x, p, distance, linked`` of the pairs, from their whole sets.
+    """``x, p, distance, linked`` of the pairs, from their whole sets; no distance where the sketches rule a link out.
 
     Sets are read where they lie: pairs, if there are at most ``most``, go to
     them, so that of each pair only one set is moved to the other.
     """
-    sets = carriers.select("doc_id", "shingles")
+    told = _possible(pairs, carriers, percent, most)
+    pairs, sets = told.where("possible"), carriers.select("doc_id", "shingles")
     asked = broadcast_if_few(pairs.select("x", "p"), most)
     ends = broadcast_if_few(stage(pairs.select("p").distinct(), "ends"), most)
     with_x = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")).join(asked, "x")
@@ -406,7 +429,8 @@ def _measured(pairs: DataFrame, carriers: DataFrame, percent: int, most: int = 3
             i, t = np.asarray(common, np.int64), np.asarray(total, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 - i / np.maximum(t - i, 1)), pa.array(linked(i, t, percent))], ["x", "p", "distance", "linked"])
 
-    return stage(both.select("x", "p", "sx", "sp").mapInArrow(tidy(compare), "x long, p long, distance double, linked boolean"), "distances")
+    exact = both.select("x", "p", "sx", "sp").mapInArrow(tidy(compare), "x long, p long, distance double, linked boolean")
+    return stage(exact.unionByName(told.where("not possible").select("x", "p", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("linked"))), "distances")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 262_144, pivots: int = 512, rows_per_part: int = 500_000) -> DataFrame:
@@ -438,7 +462,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
 
     # members of a cell whose window holds no other component near enough are done
     active = F.col("cell").isNull() | (_per_pivot("cell", reach, "double") <= F.col("cell_d") + (1 - percent / 100) + 1e-9)
-    carriers = facts.where(F.col("shingles").isNotNull() & active).select("doc_id", "n", "shingles")
+    carriers = facts.where(F.col("shingles").isNotNull() & active).select("doc_id", "n", "shingles", "sketch")
     size = carriers.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0)).alias("s")).first()["s"]
     labels = members.where("label is not null").groupBy("doc_id").agg(F.min("label").alias("first"))
     mine = carriers.select("doc_id").distinct()
