@@ -87,9 +87,9 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> list[int]:
-    """A bitmap of 1024 bits with one for each element."""
-    bits = np.zeros(1024, bool)
-    bits[s & np.uint64(1023)] = True
+    """A bitmap with one bit for each element: 1024 bits, doubled until they are twice the elements."""
+    bits = np.zeros(max(1024, 1 << (2 * len(s) - 1).bit_length()), bool)
+    bits[s & np.uint64(len(bits) - 1)] = True
     return np.packbits(bits).view(np.int64).tolist()
 
 
@@ -220,7 +220,7 @@ def _facts(rows: DataFrame, pivots: Pivots, percent: int) -> DataFrame:
                             first = int(np.argmin(own_d))
                             cell, cell_d, links = int(mine[first]), float(own_d[first]), np.delete(mine, first).tolist()
                     out.append((doc, len(s), hi, lo, raw, sketch(s), cell, cell_d, links, near.tolist(), distance.tolist(), None, None))
-                    size += len(raw)
+                    size += len(raw) + len(s)
                     if held > 400_000:
                         merge()
                 if len(out) >= 10_000 or size > 2_000_000:
@@ -391,12 +391,17 @@ def _possible(pairs: DataFrame, carriers: DataFrame, percent: int, most: int) ->
     """``x, p, possible``: whether the sketches of a pair leave it open that the two are linked.
 
     A bit that only one of two sketches has stands for an element, at least,
-    that only that set has; so many elements at most are common.
+    that only that set has; so many elements at most are common.  Of a longer
+    sketch, as many parts as make the length of the shorter one are laid on top
+    of each other.
     """
     small = carriers.select("doc_id", F.col("n").cast("long").alias("n"), "sketch")
     of_x, of_p = (small.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s")) for c in "xp")
     ends = broadcast_if_few(stage(pairs.select("p").distinct(), "ends"), most)
     both = of_x.join(broadcast_if_few(pairs.select("x", "p"), most), "x").join(of_p.join(ends, "p", "left_semi"), "p")
+    fold = lambda a, n: F.aggregate(F.sequence(F.lit(0), (F.size(a) / n).cast("int") - 1), F.array_repeat(F.lit(0).cast("long"), n), lambda t, k: F.zip_with(t, F.slice(a, k * n + 1, n), lambda u, v: u.bitwiseOR(v)))
+    n = F.least(F.size("xs"), F.size("ps"))
+    both = both.withColumns({c: F.when(F.size(c) > n, fold(F.col(c), n)).otherwise(F.col(c)) for c in ("xs", "ps")})
     only = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0).cast("long"), lambda t, k: t + k)
     most_common = F.least(F.col("xn") - only("xs", "ps"), F.col("pn") - only("ps", "xs"))
     return stage(both.select("x", "p", ((100 + percent) * most_common >= percent * (F.col("xn") + F.col("pn"))).alias("possible")), "possible")
