@@ -486,8 +486,10 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     # in the region of their first common shingle, two documents can share no more than what either has left
     room = (100 + percent) * F.least("xr", "pr").cast("long") >= percent * (F.col("xn") + F.col("pn")).cast("long")
     of_x, of_p = (nodes.select(F.col("doc_id").alias(c), F.col("label").alias(f"{c}l")) for c in "xp")
-    cells = regions.where((F.col("x") != F.col("p")) & room).groupBy("x", "p").agg(F.count("*").alias("times")).join(of_x, "x").join(of_p, "p").where("xl <> pl")
-    nearest = stage(cells.groupBy("x").agg(F.max(F.struct("times", "p")).alias("m")).select("x", F.col("m.p").alias("p")), "cells")
+    # one shuffle by x serves both sums; a document has a row per shingle of its prefix at most
+    cells = regions.where((F.col("x") != F.col("p")) & room).select("x", "p").repartition("x").groupBy("x", "p").agg(F.count("*").alias("times"))
+    nearest = cells.groupBy("x").agg(F.max(F.struct("times", "p")).alias("m")).select("x", F.col("m.p").alias("p"))
+    nearest = stage(nearest.join(of_x, "x").join(of_p, "p").where("xl <> pl").select("x", "p"), "cells")
     known = _measured(nearest, carriers, percent)
     nodes = _relabel(nodes, known.where("linked"))
 
