@@ -15,7 +15,7 @@ from .common import broadcast_if_few, fresh_name, stage, tidy
 #: Bytes that the cut decision sees: the gear hash shifts older ones out of the bits that are tested.
 WINDOW = 16
 LEAST, MOST = 24, 4096
-BUFFER = 4 << 20
+BUFFER = 1 << 20
 
 
 def gear_table() -> np.ndarray:
