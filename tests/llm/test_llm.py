@@ -587,3 +587,25 @@ def test_pipeline_edges(spark, edge, tmp_path):
         ids = {r[0] for r in at.select("doc_id").collect()}
         assert ids == (set() if empty else {None, 1, 2, 3, 4, 5, 7, 8, 9})
         assert cp.packing(spark, at, str(tmp_path)).select("doc_id").distinct().count() == len(ids)
+
+
+def test_sketches_of_any_two_lengths(spark):
+    """What sketches leave open follows from folded bitmaps, holds every link, and few pairs besides them."""
+    rng, sets = np.random.default_rng(1), []
+    for n in (1, 3, 400, 512, 513, 700, 1030, 2100, 5000):
+        base = np.unique(rng.integers(0, 2**48, n).astype(np.uint64))
+        near = np.unique(np.concatenate([base[rng.random(n) < 0.9], rng.integers(0, 2**48, n // 20).astype(np.uint64)]))
+        sets += [base, near if len(near) else base]
+    rows = [(k, len(s), jaccard.packed(s), jaccard.sketch(s)) for k, s in enumerate(sets)]
+    carriers = spark.createDataFrame(rows, "doc_id long, n int, shingles binary, sketch array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b], "x long, p long")
+    possible = {(r["x"], r["p"]): r["possible"] for r in jaccard._possible(pairs, carriers, 75, 10).collect()}
+    assert len(possible) == len(sets) * (len(sets) - 1)
+    for (a, b), told in possible.items():
+        x, p = sets[a], sets[b]
+        bits = np.uint64(64 * min(len(jaccard.sketch(x)), len(jaccard.sketch(p))) - 1)
+        fx, fp = set((x & bits).tolist()), set((p & bits).tolist())
+        most = min(len(x) - len(fx - fp), len(p) - len(fp - fx))
+        common = len(np.intersect1d(x, p))
+        assert told == (175 * most >= 75 * (len(x) + len(p)))
+        assert told or 175 * common < 75 * (len(x) + len(p))
