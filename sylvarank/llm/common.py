@@ -18,12 +18,18 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch that goes to a Python worker.  By rows alone a batch of long texts would have no bound.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+#: Rows that a scan decodes at a time; whole texts and sets make some megabytes of them.
+DECODED, DECODED_ROWS, DECODED_DEFAULT = "spark.sql.parquet.columnarReaderBatchSize", "512", "4096"
+#: Bytes of a row group of staged tables, which a task buffers before it writes them and reads at once.
+ROW_GROUP = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what is sent to a Python worker at a time, unless the session says something else."""
+    """Bounds what is decoded and sent to a Python worker at a time, unless the session says something else."""
     if spark.conf.get(BATCH, None) is None:
         spark.conf.set(BATCH, BATCH_BYTES)
+    if spark.conf.get(DECODED) == DECODED_DEFAULT:
+        spark.conf.set(DECODED, DECODED_ROWS)
 
 
 def give_back() -> None:
@@ -87,7 +93,7 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
