@@ -456,24 +456,29 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     facts = stage(_facts(rows, sample, percent), "facts")
     often = facts.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(heavy_limit).select("shingle").toArrow()
     heavy = often.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
-    info = facts.where("shingle is null").select("doc_id", "n", "hi", "lo", "cell", "cell_d")
+    holds = F.when(F.col("near").isNotNull(), F.col("doc_id"))  # rows that have their set
+    info = facts.where("shingle is null").select("doc_id", "n", "hi", "lo", "cell", holds.alias("holder"))
     root, reach = _pivot_roots(facts, sample, percent)
-    classes = stage(info.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max(_per_pivot("cell", root, "int")).alias("root")), "classes")
+    classes = stage(info.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("holder").alias("holder"), F.max(_per_pivot("cell", root, "int")).alias("root")), "classes")
     least = classes.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))  # a row per pivot at most
-    classes = stage(classes.join(F.broadcast(least), "root", "left").select("hi", "lo", "rep", F.coalesce("least", "rep").alias("label")), "classes")
-    members = info.where("n > 0 and doc_id is not null").select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo"]).select("doc_id", "n", "label")
-    alone = info.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("label"))
+    classes = stage(classes.join(F.broadcast(least), "root", "left").select("hi", "lo", "holder", F.coalesce("least", "rep").alias("label")), "classes")
+    spare = F.col("own").isNotNull() & (F.col("own") != F.col("holder"))
+    members = info.where("n > 0 and doc_id is not null").select("doc_id", "n", "hi", "lo", F.col("holder").alias("own")).join(classes, ["hi", "lo"]).select("doc_id", "n", "label", spare.alias("spare"))
+    alone = info.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("label"), F.lit(False).alias("spare"))
     members = stage(members.unionByName(alone), "members")
 
     # members of a cell whose window holds no other component near enough are done
     active = F.col("cell").isNull() | (_per_pivot("cell", reach, "double") <= F.col("cell_d") + (1 - percent / 100) + 1e-9)
     carriers = facts.where(F.col("shingles").isNotNull() & active).select("doc_id", "n", "shingles", "sketch")
     size = carriers.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0)).alias("s")).first()["s"]
-    labels = members.where("label is not null").groupBy("doc_id").agg(F.min("label").alias("first"))
-    mine = carriers.select("doc_id").distinct()
+    labels = stage(members.where("label is not null").groupBy("doc_id").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.min("spare").alias("spare")), "labels")
+    # of equal sets that several tasks met, one goes on; an id of several texts does, as it links them
+    copies = broadcast_if_few(labels.where("spare and first = last").select(F.col("doc_id").alias("copy")), 1_000_000)
+    ones = carriers.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    mine = ones.select("doc_id").distinct()
     nodes = stage(labels.join(mine, "doc_id", "left_semi").select("doc_id", "first", F.col("first").alias("label")), "nodes")
 
-    prefixes = stage(_shared(_prefixes(carriers, heavy, percent, max(32, int(size) // rows_per_part)), percent), "prefixes")
+    prefixes = stage(_shared(_prefixes(ones, heavy, percent, max(32, int(size) // rows_per_part)), percent), "prefixes")
     pivot = F.min(F.struct(F.xxhash64("doc_id").alias("turn"), F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("pr")))
     shared = stage(prefixes.groupBy("shingle").agg(F.count("*").alias("times"), F.min("n").alias("least"), pivot.alias("m")).where("times > 1").select("shingle", "least", "m.p", "m.pn", "m.pr"), "shared")
     regions = prefixes.join(shared, "shingle").select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("rest").alias("xr"), "p", "pn", "pr", "least")

@@ -466,6 +466,20 @@ def test_jaccard_edges(spark, edge, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_copies_in_many_tasks(spark):
+    draw = random.Random(8)
+    texts = [" ".join(f"w{draw.randrange(300)}" for _ in range(draw.choice((3, 20, 60)))) for _ in range(12)]
+    texts += [t + " more" for t in texts]
+    rows = [(k, t) for k, t in enumerate(texts * 6)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(df, pivots=0, rows_per_part=200).collect()}
+    assert got == brute_components(rows)
+    ids = df.withColumn("doc_id", F.when(F.col("doc_id") >= 0, F.col("doc_id") % 24))  # an id of several equal rows
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(ids, pivots=0).collect()}
+    assert got == brute_components([(k, t) for k, t in enumerate(texts)])
+
+
 def test_chain_and_star_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in jaccard.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
